@@ -147,7 +147,11 @@ def compare_params(params1: DataFrame, params2: DataFrame) -> DataFrame:
         "parameter", F.when(is_mode, MODE_TITLE).otherwise(F.col("parameter"))
     )
     end = rows.filter(F.col("parameter") == END_OF_PARAMETERS).agg(F.min("key").alias("stop"))
-    kept = rows.join(end, F.col("stop").isNull() | (F.col("key") < F.col("stop")))
+    kept = (
+        rows.withColumn("one", F.lit(1))
+        .join(end.withColumn("one", F.lit(1)), "one")
+        .filter(F.col("stop").isNull() | (F.col("key") < F.col("stop")))
+    )
     numbered = number_rows(kept.select("key", "parameter", "v1", "v2"), [], [F.col("key")], "position")
     return numbered.select(
         "position",

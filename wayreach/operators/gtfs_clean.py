@@ -171,17 +171,18 @@ def dedupe_repeated_stops(
     ``<stop>#<visit>`` copy the stop's row. Returns (stop_times, stops).
     """
     first_trip = trips.groupBy("route_id").agg(F.min("trip_id").alias("trip_id"))
-    rows = stop_times.join(first_trip, "trip_id").select("route_id", "stop_id", "stop_sequence")
+    rows = stop_times.drop("route_id").join(first_trip, "trip_id")
+    rows = rows.select("route_id", "stop_id", "stop_sequence")
     visits = number_rows(rows, ["route_id", "stop_id"], [F.col("stop_sequence")], "visit", max_rows)
     clones = visits.filter("visit > 1").select(
-        "route_id",
+        F.col("route_id").alias("__route"),
         "stop_sequence",
         F.col("stop_id").alias("__old"),
         F.concat_ws("#", "stop_id", F.col("visit").cast("string")).alias("__clone"),
     )
     renamed = (
-        stop_times.join(trips.select("trip_id", "route_id"), "trip_id", "left")
-        .join(clones, ["route_id", "stop_sequence"], "left")
+        stop_times.join(trips.select("trip_id", F.col("route_id").alias("__route")), "trip_id", "left")
+        .join(clones, ["__route", "stop_sequence"], "left")
         .withColumn("stop_id", F.coalesce("__clone", "stop_id"))
         .select(*stop_times.columns)
     )

@@ -9,7 +9,8 @@ from ..functions.ordered import MAX_ROWS_PER_GROUP, number_rows
 
 
 def trip_stop_times(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
-    return stop_times.join(trips.select("trip_id", "route_id"), "trip_id")
+    """Stop times with the route of their trip."""
+    return stop_times.drop("route_id").join(trips.select("trip_id", "route_id"), "trip_id")
 
 
 def pattern_stops(tst: DataFrame) -> DataFrame:
