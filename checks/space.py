@@ -60,10 +60,10 @@ def _(i):
 
 @check(
     "r4_drop_errored_links",
-    "SELECT link_id, fclass, oneway FROM {links} WHERE link_id NOT IN (SELECT l_partkey FROM {lineitem})",
+    "SELECT link_id, fclass, oneway FROM {links} WHERE link_id NOT IN (SELECT doc_id FROM {labels})",
 )
 def _(i):
-    errors = i.lineitem.select(F.col("l_partkey").alias("link_id"))
+    errors = i.labels.select(F.col("doc_id").alias("link_id"))
     return R.drop_errored_links(i.roads, errors).select("link_id", "fclass", "oneway")
 
 
@@ -510,7 +510,7 @@ def _(i):
 FACTOR = 0.6
 LIMITS = C.CarLimits(max_time=400)
 BOUND = LIMITS.cost_bound(FACTOR)
-# starts: the upper right vertex of every tenth... all vertices are starts; the time limit bounds the work
+# every vertex is a start; the time limit bounds the work
 COSTS_SQL = f"""
 WITH RECURSIVE ed AS MATERIALIZED ({DRIVE_SQL}),
 seeds AS MATERIALIZED (SELECT DISTINCT ux AS sx, uy AS sy FROM ed),
@@ -590,7 +590,7 @@ def _(i):
 
 @check("c6_congestion_factor", "SELECT COUNT(*) AS orders, FLOOR(SUM(CASE WHEN h < 6 THEN 1.0 WHEN h < 12 THEN 0.75 ELSE 0.6 END) + 0.5) AS factors FROM (SELECT o_orderkey % 3 * 6 AS h FROM {orders}) z")
 def _(i):
-    """Factor of hours 0, 6 and 12... summed over the orders that start then."""
+    """Factors of three start hours, summed over all orders."""
     congestion = tables.read_config(i.spark, "congestion")
     f = [C.congestion_factor(congestion, h * 3600) for h in (0, 6, 16)]
     m = F.col("o_orderkey") % 3
@@ -624,7 +624,7 @@ def _(i):
 
 @check(
     "x1_x2_time_text",
-    """SELECT event_id, s AS seconds, CONCAT(LPAD(CAST(CAST(FLOOR(s / 3600) AS BIGINT) AS STRING), 2, '0'), ':', LPAD(CAST(CAST(FLOOR(s % 3600 / 60) AS BIGINT) AS STRING), 2, '0'), ':', LPAD(CAST(s % 60 AS STRING), 2, '0')) AS text
+    """SELECT event_id, s AS seconds, CASE WHEN s IS NOT NULL THEN CONCAT(LPAD(CAST(CAST(FLOOR(s / 3600) AS BIGINT) AS STRING), 2, '0'), ':', LPAD(CAST(CAST(FLOOR(s % 3600 / 60) AS BIGINT) AS STRING), 2, '0'), ':', LPAD(CAST(s % 60 AS STRING), 2, '0')) END AS text
 FROM (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN (user_id % 30) * 3600 + (event_id % 60) * 60 + user_id % 60 END AS s FROM {events}) z""",
 )
 def _(i):

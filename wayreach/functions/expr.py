@@ -119,45 +119,78 @@ def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times inside one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def geodesic_m(lon1, lat1, lon2, lat2, rounds: int = 12) -> Column:
     """Ellipsoidal (WGS84) distance by Vincenty's published inverse formula.
 
-    The longitude iteration runs as an ``aggregate`` over a constant sequence,
-    so the expression does not grow with the number of rounds.
+    The longitude iteration runs as an ``aggregate`` over a constant sequence, and
+    shared terms are bound once, so the expression stays small.
     """
     a, f = WGS84_A, WGS84_F
     b = a * (1 - f)
-    u1 = F.atan(F.lit(1 - f) * F.tan(F.radians(col(lat1))))
-    u2 = F.atan(F.lit(1 - f) * F.tan(F.radians(col(lat2))))
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    span = F.radians(col(lon2)) - F.radians(col(lon1))
 
-    def angles(lam):
+    def named(**fields):
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def reduced(lat):
+        return F.atan(F.lit(1 - f) * F.tan(F.radians(col(lat))))
+
+    def angles(p, lam):
+        """Terms that depend on the longitude difference on the sphere."""
         sin_s = F.sqrt(
-            F.pow(cu2 * F.sin(lam), 2) + F.pow(cu1 * su2 - su1 * cu2 * F.cos(lam), 2)
+            F.pow(p["cu2"] * F.sin(lam), 2)
+            + F.pow(p["cu1"] * p["su2"] - p["su1"] * p["cu2"] * F.cos(lam), 2)
         )
-        cos_s = su1 * su2 + cu1 * cu2 * F.cos(lam)
-        sin_alpha = F.when(sin_s == 0, 0.0).otherwise(cu1 * cu2 * F.sin(lam) / sin_s)
-        cos2_alpha = F.lit(1.0) - sin_alpha * sin_alpha
-        cos_2m = F.when(cos2_alpha == 0, 0.0).otherwise(cos_s - 2 * su1 * su2 / cos2_alpha)
-        return sin_s, cos_s, F.atan2(sin_s, cos_s), sin_alpha, cos2_alpha, cos_2m
-
-    def step(lam, _):
-        sin_s, cos_s, sigma, sin_alpha, cos2_alpha, cos_2m = angles(lam)
-        c = F.lit(f / 16) * cos2_alpha * (4 + f * (4 - 3 * cos2_alpha))
-        bend = sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m * cos_2m - 1))
-        return span + (1 - c) * f * sin_alpha * bend
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), span, step)
-    sin_s, cos_s, sigma, _, cos2_alpha, cos_2m = angles(lam)
-    u_sq = cos2_alpha * F.lit((a * a - b * b) / (b * b))
-    big_a = 1 + u_sq / 16384 * (4096 + u_sq * (-768 + u_sq * (320 - 175 * u_sq)))
-    big_b = u_sq / 1024 * (256 + u_sq * (-128 + u_sq * (74 - 47 * u_sq)))
-    inner = cos_s * (2 * cos_2m * cos_2m - 1) - big_b / 6 * cos_2m * (
-        4 * sin_s * sin_s - 3
-    ) * (4 * cos_2m * cos_2m - 3)
-    delta = big_b * sin_s * (cos_2m + big_b / 4 * inner)
-    return F.lit(b) * big_a * (sigma - delta)
+        cos_s = p["su1"] * p["su2"] + p["cu1"] * p["cu2"] * F.cos(lam)
+        first = let(named(ss=sin_s, cs=cos_s, sl=F.sin(lam)), lambda v: named(
+            ss=v["ss"], cs=v["cs"], sigma=F.atan2(v["ss"], v["cs"]),
+            sa=F.when(v["ss"] == 0, 0.0).otherwise(p["cu1"] * p["cu2"] * v["sl"] / F.nullif(v["ss"], F.lit(0.0))),
+        ))
+        second = let(first, lambda v: named(
+            ss=v["ss"], cs=v["cs"], sigma=v["sigma"], sa=v["sa"], c2=F.lit(1.0) - v["sa"] * v["sa"],
+        ))
+        return let(second, lambda v: named(
+            ss=v["ss"], cs=v["cs"], sigma=v["sigma"], sa=v["sa"], c2=v["c2"],
+            cm=F.when(v["c2"] == 0, 0.0).otherwise(v["cs"] - 2 * p["su1"] * p["su2"] / F.nullif(v["c2"], F.lit(0.0))),
+        ))
+
+    def next_lam(p, lam):
+        def bend(v):
+            c = F.lit(f / 16) * v["c2"] * (4 + f * (4 - 3 * v["c2"]))
+            return let(c, lambda c: p["span"] + (1 - c) * f * v["sa"] * (
+                v["sigma"] + c * v["ss"] * (v["cm"] + c * v["cs"] * (2 * v["cm"] * v["cm"] - 1))
+            ))
+
+        return let(angles(p, lam), bend)
+
+    def length(v):
+        series = let(v["c2"] * F.lit((a * a - b * b) / (b * b)), lambda u: named(
+            a=1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))),
+            b=u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))),
+        ))
+
+        def finish(k):
+            inner = v["cs"] * (2 * v["cm"] * v["cm"] - 1) - k["b"] / 6 * v["cm"] * (
+                4 * v["ss"] * v["ss"] - 3
+            ) * (4 * v["cm"] * v["cm"] - 3)
+            return F.lit(b) * k["a"] * (v["sigma"] - k["b"] * v["ss"] * (v["cm"] + k["b"] / 4 * inner))
+
+        return let(series, finish)
+
+    def solve(p):
+        steps = F.sequence(F.lit(1), F.lit(rounds))
+        lam = F.aggregate(steps, p["span"], lambda lam, _: next_lam(p, lam))
+        return let(let(lam, lambda lam: angles(p, lam)), length)
+
+    terms = let(named(u1=reduced(lat1), u2=reduced(lat2)), lambda u: named(
+        su1=F.sin(u["u1"]), cu1=F.cos(u["u1"]), su2=F.sin(u["u2"]), cu2=F.cos(u["u2"]),
+        span=F.radians(col(lon2)) - F.radians(col(lon1)),
+    ))
+    return let(terms, solve)
 
 
 def project_local(lon, lat, lon0: float, lat0: float) -> tuple[Column, Column]:
