@@ -71,24 +71,26 @@ def only_in_second(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return only_in_first(second, first, key)
 
 
-def scenario_kind(params: DataFrame) -> DataFrame:
-    """One row (from_mode, roundtrip, cumulative) read off a run's (Parameter, Value) table."""
+def scenario_kinds(params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, from_mode, roundtrip, cumulative) read off runs' (Parameter, Value) tables."""
 
     def of(name):
         return F.coalesce(F.max(F.when(F.col("Parameter") == name, F.col("Value"))), F.lit(""))
 
-    text, mode = F.upper(of("Accessibility")), F.lower(of(MODE))
-    back = F.contains(text, F.lit("ROUNDTRIP"))
-    return params.agg(
-        (back | (F.contains(text, F.lit("FROM")) & ~F.contains(text, F.lit("TO")))).alias("from_mode"),
+    stated = params.groupBy(*keys).agg(F.upper(of("Accessibility")).alias("text"), F.lower(of(MODE)).alias("mode"))
+    back = F.contains(F.col("text"), F.lit("ROUNDTRIP"))
+    one_way = F.contains(F.col("text"), F.lit("FROM")) & ~F.contains(F.col("text"), F.lit("TO"))
+    return stated.select(
+        *keys,
+        (back | one_way).alias("from_mode"),
         back.alias("roundtrip"),
-        F.contains(mode, F.lit("cumulative")).alias("cumulative"),
+        F.contains(F.col("mode"), F.lit("cumulative")).alias("cumulative"),
     )
 
 
 def check_comparable(params1: DataFrame, params2: DataFrame) -> DataFrame:
     """One row (ok, message): both round trips or neither, both the same kind of measure."""
-    a, b = scenario_kind(params1), scenario_kind(params2)
+    a, b = scenario_kinds(params1), scenario_kinds(params2)
     pair = a.select(F.lit(1).alias("one"), *[F.col(c).alias(f"{c}_1") for c in a.columns]).join(
         b.select(F.lit(1).alias("one"), *[F.col(c).alias(f"{c}_2") for c in b.columns]), "one"
     )
