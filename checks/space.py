@@ -34,19 +34,52 @@ def doubled(i):
     return i.roads.unionByName(again.withColumn("link_id", F.col("link_id") + 1000000))
 
 
-@check("r1_snap_endpoints")
+# nodes lie far apart, so the ends at one node form one group and its smallest point wins
+SNAP_SQL = """
+WITH e AS (SELECT link_id, 0 AS side, ax AS nx, ay AS ny, ax + 0.1 * (link_id % 4) AS x, ay AS y FROM {links}
+           UNION ALL SELECT link_id, 1, bx, by_, bx, by_ FROM {links}),
+g AS (SELECT nx, ny, MIN(x) AS x FROM e GROUP BY nx, ny)
+SELECT e.link_id, e.side, FLOOR(g.x * 1000 + 0.5) / 1000 AS x, e.y FROM e JOIN g ON g.nx = e.nx AND g.ny = e.ny"""
+
+
+@check("r1_snap_endpoints", SNAP_SQL)
 def _(i):
     """Link ends shaken by up to 0.3 m and snapped together again."""
     shake = F.lit(0.1) * (F.col("link_id") % 4)
     first = F.struct((F.col("geom")[0]["x"] + shake).alias("x"), F.col("geom")[0]["y"].alias("y"))
     shaken = i.roads.withColumn("geom", F.concat(F.array(first), F.slice("geom", 2, 2)))
     snapped = R.snap_endpoints(shaken, 0.5)
-    return snapped.select("link_id", F.col("geom")[0]["x"].alias("x"), F.col("geom")[0]["y"].alias("y"))
-
-
-@check("r2_break_crossings")
-def _(i):
-    return R.break_crossings(i.roads)
+    ends = snapped.select("link_id", F.posexplode(F.array(F.col("geom")[0], F.element_at("geom", -1))).alias("side", "p"))
+    return ends.select("link_id", "side", m3("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+BREAK_SQL = """
+WITH s AS (SELECT link_id, seg, ax, ay, bx, by_ AS by2, bx - ax AS rx, by_ - ay AS ry FROM {segments}),
+m AS (SELECT a.link_id, a.seg, a.ax, a.ay, a.rx, a.ry, a.rx * b.ry - a.ry * b.rx AS cr,
+             (b.ax - a.ax) * b.ry - (b.ay - a.ay) * b.rx AS tn, (b.ax - a.ax) * a.ry - (b.ay - a.ay) * a.rx AS un,
+             a.rx * (b.ay - a.ay) - a.ry * (b.ax - a.ax) AS o1, a.rx * (b.by2 - a.ay) - a.ry * (b.bx - a.ax) AS o2,
+             ((b.ax - a.ax) * a.rx + (b.ay - a.ay) * a.ry) / (a.rx * a.rx + a.ry * a.ry) AS p1,
+             ((b.bx - a.ax) * a.rx + (b.by2 - a.ay) * a.ry) / (a.rx * a.rx + a.ry * a.ry) AS p2
+      FROM s a JOIN s b ON b.link_id <> a.link_id
+       AND LEAST(b.ax, b.bx) <= GREATEST(a.ax, a.bx) AND GREATEST(b.ax, b.bx) >= LEAST(a.ax, a.bx)
+       AND LEAST(b.ay, b.by2) <= GREATEST(a.ay, a.by2) AND GREATEST(b.ay, b.by2) >= LEAST(a.ay, a.by2)),
+c AS (SELECT link_id, seg, ax, ay, rx, ry, tn / cr AS t FROM m WHERE cr <> 0 AND tn / cr BETWEEN 0 AND 1 AND un / cr BETWEEN 0 AND 1
+      UNION ALL SELECT link_id, seg, ax, ay, rx, ry, p1 FROM m WHERE cr = 0 AND o1 = 0 AND p1 BETWEEN 0 AND 1
+      UNION ALL SELECT link_id, seg, ax, ay, rx, ry, p2 FROM m WHERE cr = 0 AND o2 = 0 AND p2 BETWEEN 0 AND 1),
+pts AS (SELECT link_id, FLOOR((seg + t) * 1e6 + 0.5) AS pos, ax + t * rx AS x, ay + t * ry AS y, 1 AS cut FROM c
+        UNION ALL SELECT link_id, seg * 1e6, ax, ay, 0 FROM s UNION ALL SELECT link_id, (seg + 1) * 1e6, bx, by2, 0 FROM s),
+u AS (SELECT link_id, pos, MIN(x) AS x, MIN(y) AS y, MAX(cut) AS cut FROM pts GROUP BY link_id, pos),
+n AS (SELECT link_id, ROW_NUMBER() OVER w - 1 AS seq, LAG(x) OVER w AS ax, LAG(y) OVER w AS ay, x AS bx, y AS by2,
+             SUM(cut) OVER (PARTITION BY link_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - cut - FIRST_VALUE(cut) OVER w + 1 AS piece
+      FROM u WINDOW w AS (PARTITION BY link_id ORDER BY pos))
+SELECT link_id, CAST(piece AS BIGINT) AS piece, seq, FLOOR(ax * 1000 + 0.5) / 1000 AS ax, FLOOR(ay * 1000 + 0.5) / 1000 AS ay,
+       FLOOR(bx * 1000 + 0.5) / 1000 AS bx, FLOOR(by2 * 1000 + 0.5) / 1000 AS by2 FROM n WHERE seq > 0"""
+
+
+@check("r2_break_crossings", BREAK_SQL)
+def _(i):
+    pieces = R.break_crossings(i.roads)
+    return pieces.select("link_id", "piece", "seq", m3("ax").alias("ax"), m3("ay").alias("ay"), m3("bx").alias("bx"), m3("by").alias("by2"))
 
 
 @check(
@@ -208,9 +241,20 @@ def _(i):
     return grid.select("q", "r", X.half_up("cx", 3).alias("cx"), X.half_up("cy", 3).alias("cy"))
 
 
-@check("z2_hex_filter")
+# squares of 30 m touch a hexagon unless one of the five edge directions separates them
+HALF_HEIGHT = SIDE * 3**0.5 / 2
+TOUCH_SQL = f"""
+SELECT DISTINCT q, r FROM (
+  SELECT q, r, b.x - ({SIDE} * 1.5 * q) AS dx, b.y - ({SIDE} * CAST({3**0.5!r} AS DOUBLE) * (r + q / 2.0)) AS dy
+  FROM (SELECT x, y, q + i AS q, r + j AS r FROM ({HEX_SQL}) h JOIN (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)) o(i, j) ON TRUE) b) z
+WHERE ABS(dx) <= {SIDE} + 15 AND ABS(dy) <= {HALF_HEIGHT!r} + 15
+  AND ABS(dx * {3**0.5 / 2!r} + dy * 0.5) <= {HALF_HEIGHT!r} + 15 * {(3**0.5 + 1) / 2!r}
+  AND ABS(dy * 0.5 - dx * {3**0.5 / 2!r}) <= {HALF_HEIGHT!r} + 15 * {(3**0.5 + 1) / 2!r}"""
+
+
+@check("z2_hex_filter", TOUCH_SQL)
 def _(i):
-    return Z.hex_filter(i.buildings.select(square(15.0).alias("ring")), SIDE)
+    return Z.hex_filter(i.buildings.select(square(15.0).alias("ring")), SIDE).select("q", "r")
 
 
 NEAREST_SQL = f"""SELECT q, r, aid FROM (

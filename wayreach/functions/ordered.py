@@ -33,8 +33,12 @@ class OrderedGroups:
         keys: Sequence[str],
         order: Sequence[Column],
         max_rows: int = MAX_ROWS_PER_GROUP,
+        settle: bool = False,
     ):
+        """``settle`` writes ``df`` first: right when measuring it would repeat costly work."""
         self.keys, self.order = list(keys), list(order)
+        if settle:
+            df = Scratch(df.sparkSession, "ordered").keep(df, "input")
         self.chunked = largest_group(df, self.keys) > max_rows
         if self.chunked:
             spark = df.sparkSession
@@ -133,6 +137,13 @@ class OrderedGroups:
         return self.df.drop(CHUNK, "__pos")
 
 
-def number_rows(df, keys, order, name="rn", max_rows: int = MAX_ROWS_PER_GROUP) -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "rn",
+    max_rows: int = MAX_ROWS_PER_GROUP,
+    settle: bool = False,
+) -> DataFrame:
     """1-based row number inside each key, exact however large one key is."""
-    return OrderedGroups(df, keys, order, max_rows).row_number(name).result()
+    return OrderedGroups(df, keys, order, max_rows, settle).row_number(name).result()

@@ -90,14 +90,16 @@ def scenario_kinds(params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def check_comparable(params1: DataFrame, params2: DataFrame) -> DataFrame:
     """One row (ok, message): both round trips or neither, both the same kind of measure."""
-    a, b = scenario_kinds(params1), scenario_kinds(params2)
-    pair = a.select(F.lit(1).alias("one"), *[F.col(c).alias(f"{c}_1") for c in a.columns]).join(
-        b.select(F.lit(1).alias("one"), *[F.col(c).alias(f"{c}_2") for c in b.columns]), "one"
+    both = params1.select("Parameter", "Value", F.lit(1).alias("run")).unionAll(
+        params2.select("Parameter", "Value", F.lit(2).alias("run"))
+    )
+    pair = scenario_kinds(both, ["run"]).agg(
+        *[F.count_distinct(c).alias(c) for c in ("roundtrip", "cumulative")]
     )
     message = (
-        F.when(F.col("roundtrip_1") != F.col("roundtrip_2"), "Both scenarios must be round trips, or neither")
+        F.when(F.col("roundtrip") > 1, "Both scenarios must be round trips, or neither")
         .when(
-            F.col("cumulative_1") != F.col("cumulative_2"),
+            F.col("cumulative") > 1,
             "Both scenarios must be service areas, or both cumulative opportunities",
         )
         .otherwise("")
@@ -148,12 +150,13 @@ def compare_params(params1: DataFrame, params2: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.struct((~is_mode).alias("m"), "rank")).withColumn(
         "parameter", F.when(is_mode, MODE_TITLE).otherwise(F.col("parameter"))
     )
-    end = rows.filter(F.col("parameter") == END_OF_PARAMETERS).agg(F.min("key").alias("stop"))
-    kept = (
-        rows.withColumn("one", F.lit(1))
-        .join(end.withColumn("one", F.lit(1)), "one")
-        .filter(F.col("stop").isNull() | (F.col("key") < F.col("stop")))
-    )
+    # one small value: where the parameters end
+    stop = rows.filter(F.col("parameter") == END_OF_PARAMETERS).agg(F.min("key")).first()[0]
+    kept = rows
+    if stop is not None:
+        late, p = stop["rank"]
+        place = F.struct(F.lit(late), F.lit(p).cast("long"))
+        kept = rows.filter(F.col("key") < F.struct(F.lit(stop["m"]), place))
     numbered = number_rows(kept.select("key", "parameter", "v1", "v2"), [], [F.col("key")], "position")
     return numbered.select(
         "position",

@@ -138,7 +138,7 @@ def trip_patterns(trips: DataFrame, stop_times: DataFrame, max_rows: int = MAX_R
     )
     same = ["route_id", "h1", "h2", "n"]
     groups = shape.groupBy(*same).agg(F.min("trip_id").alias("first_trip"))
-    numbered = number_rows(groups, ["route_id"], [F.col("first_trip")], "rn", max_rows)
+    numbered = number_rows(groups, ["route_id"], [F.col("first_trip")], "rn", max_rows, settle=True)
     pattern = F.concat_ws("_", "route_id", F.col("rn").cast("string"))
     return shape.join(numbered.withColumn("pattern_id", pattern), same).select(
         "trip_id", "route_id", "pattern_id"
@@ -173,7 +173,9 @@ def dedupe_repeated_stops(
     first_trip = trips.groupBy("route_id").agg(F.min("trip_id").alias("trip_id"))
     rows = stop_times.drop("route_id").join(first_trip, "trip_id")
     rows = rows.select("route_id", "stop_id", "stop_sequence")
-    visits = number_rows(rows, ["route_id", "stop_id"], [F.col("stop_sequence")], "visit", max_rows)
+    visits = number_rows(
+        rows, ["route_id", "stop_id"], [F.col("stop_sequence")], "visit", max_rows, settle=True
+    )
     clones = visits.filter("visit > 1").select(
         F.col("route_id").alias("__route"),
         "stop_sequence",

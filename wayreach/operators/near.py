@@ -30,6 +30,25 @@ def _cells_around(x, y, size: float) -> Column:
     )
 
 
+MAX_PER_CELL = 2000
+SMALLEST_SHARE = 64
+
+
+def fitting_cell(cells_at, size: float, max_rows: int = MAX_PER_CELL) -> float:
+    """``size``, halved until no cell holds more than ``max_rows`` (at most 64 times smaller).
+
+    ``cells_at(size)`` gives one row (c) per item and cell. Bounds the pairs a dense
+    place can form before the exact test; the result of a join does not depend on it.
+    """
+    smallest = size / SMALLEST_SHARE
+    while size > smallest:
+        fullest = cells_at(size).groupBy("c").count().agg(F.max("count")).first()[0] or 0
+        if fullest <= max_rows:
+            break
+        size /= 2
+    return size
+
+
 def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """All (left, right) pairs at most ``radius`` apart, with their distance ``d``.
 
@@ -87,8 +106,12 @@ def nearest_point(
         best = F.struct(X.point_distance("x", "y", "tx", "ty").alias("d"), F.col("tid"))
         return lhs.join(rhs, "__c").groupBy("x", "y").agg(F.min(best).alias("best"))
 
+    def cells_at(r):
+        return places.select(F.struct(cell("tx", r).alias("cx"), cell("ty", r).alias("cy")).alias("c"))
+
     scratch = Scratch(points.sparkSession, "nearest-point")
-    best = _nearest(points, limit, first or limit or 50.0, candidates, scratch)
+    start = fitting_cell(cells_at, float(first or limit or 50.0))
+    best = _nearest(points, limit, start, candidates, scratch)
     return points.join(
         best.select("x", "y", F.col("best.tid").alias(target_id), F.col("best.d").alias("d")), ["x", "y"]
     )
@@ -136,6 +159,10 @@ def nearest_segment(
         )
         return lhs.join(rhs, "__c").groupBy("x", "y").agg(F.min(best).alias("best"))
 
+    def cells_at(r):
+        return segments.select(F.explode(segment_cells("ax", "ay", "bx", "by", r)).alias("c"))
+
     scratch = Scratch(points.sparkSession, "nearest-segment")
-    best = _nearest(points, limit, first, candidates, scratch)
+    start = fitting_cell(cells_at, float(min(first, limit)))
+    best = _nearest(points, limit, start, candidates, scratch)
     return points.join(best.select("x", "y", "best.*"), ["x", "y"])

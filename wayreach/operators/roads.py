@@ -189,9 +189,13 @@ def break_crossings(
     """Cut links where another link meets or crosses them.
 
     Long result (link_id, piece, seq, ax, ay, bx, by): ``piece`` counts the parts of a
-    link, ``seq`` the segments in link order. Only segments of one grid cell are compared.
+    link, ``seq`` the segments in link order. Only segments of one grid cell are compared,
+    and cells shrink where links are dense.
     """
     segs = segments(roads)
+    cell_m = near.fitting_cell(
+        lambda size: segs.select(F.explode(near.segment_cells("ax", "ay", "bx", "by", size)).alias("c")), cell_m
+    )
     celled = segs.withColumn("c", F.explode(near.segment_cells("ax", "ay", "bx", "by", cell_m)))
     a, b = celled.alias("a"), celled.alias("b")
     met = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.link_id") != F.col("b.link_id")))
@@ -223,7 +227,7 @@ def break_crossings(
         .agg(F.min(F.struct("cut", "p")).alias("m"), F.max("cut").alias("cut"))
         .select("link_id", "pos", F.col("m.p").alias("p"), "cut")
     )
-    rows = OrderedGroups(marks, ["link_id"], [F.col("pos")], max_rows)
+    rows = OrderedGroups(marks, ["link_id"], [F.col("pos")], max_rows, settle=True)
     df = rows.lag("p", "q").running_sum("cut", "cuts").row_number("rn").result()
     # a cut at a link's own start does not open a new piece
     starts = df.filter("rn = 1 AND cut = 1").select("link_id", F.lit(1).alias("at_start"))

@@ -20,7 +20,7 @@ def pattern_stops(tst: DataFrame) -> DataFrame:
 
 def route_stop_position(patterns: DataFrame, max_rows: int = MAX_ROWS_PER_GROUP) -> DataFrame:
     """0-based position of each stop in its route's list; a repeated stop keeps the last."""
-    numbered = number_rows(patterns, ["route_id"], [F.col("stop_sequence")], "rn", max_rows)
+    numbered = number_rows(patterns, ["route_id"], [F.col("stop_sequence")], "rn", max_rows, settle=True)
     return numbered.groupBy("route_id", "stop_id").agg((F.max("rn") - 1).alias("position"))
 
 
@@ -61,7 +61,7 @@ def trip_order(events: DataFrame, max_rows: int = MAX_ROWS_PER_GROUP) -> DataFra
     """Rank of each trip in its route by first time (on mirrored events: by last, descending)."""
     trips = events.select("route_id", "trip_id", "t_first").distinct()
     return number_rows(
-        trips, ["route_id"], [F.col("t_first"), F.col("trip_id")], "trip_rank", max_rows
+        trips, ["route_id"], [F.col("t_first"), F.col("trip_id")], "trip_rank", max_rows, settle=True
     )
 
 

@@ -66,7 +66,7 @@ def attachments(linked: DataFrame) -> DataFrame:
 def coord_to_vertex(edges: DataFrame, max_rows: int = MAX_ROWS_PER_GROUP) -> DataFrame:
     """(vertex_id, x, y): ids 0.. for the distinct end points, ordered by coordinates."""
     nodes = edges.select("u.x", "u.y").unionAll(edges.select("v.x", "v.y")).distinct()
-    numbered = number_rows(nodes, [], [F.col("x"), F.col("y")], "rn", max_rows)
+    numbered = number_rows(nodes, [], [F.col("x"), F.col("y")], "rn", max_rows, settle=True)
     return numbered.select((F.col("rn") - 1).alias("vertex_id"), "x", "y")
 
 

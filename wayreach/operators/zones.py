@@ -30,34 +30,34 @@ def hex_grid(buildings: DataFrame, side: float, x0: float = 0.0, y0: float = 0.0
     )
 
 
+def _steps(low, high):
+    """low..high as rows; nothing if the range is empty."""
+    return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+
+def _hexes_in_box(df: DataFrame, side: float, margin: float, x0: float, y0: float) -> DataFrame:
+    """Add (q, r, cx, cy) of hexagons whose centre lies in the box x1..x2, y1..y2 plus a margin."""
+    tall = math.sqrt(3.0) * side
+    q1 = F.ceil((F.col("x1") - margin - x0) / (1.5 * side))
+    q2 = F.floor((F.col("x2") + margin - x0) / (1.5 * side))
+    df = df.withColumn("q", _steps(q1, q2))
+    r1 = F.ceil((F.col("y1") - margin - y0) / tall - F.col("q") / 2.0)
+    r2 = F.floor((F.col("y2") + margin - y0) / tall - F.col("q") / 2.0)
+    cx, cy = hex_centre("q", "r", side, x0, y0)
+    return df.withColumn("r", _steps(r1, r2)).withColumn("cx", cx).withColumn("cy", cy)
+
+
 def hex_filter(
     polygons: DataFrame, side: float, ring: str = "ring", x0: float = 0.0, y0: float = 0.0
 ) -> DataFrame:
     """(q, r, cx, cy) of every hexagon that a building polygon touches.
 
-    A polygon proposes the hexagons of its bounding box; one counts if a polygon edge
-    enters it (clipping against its three strips) or its centre lies in the polygon.
+    Each polygon edge proposes the hexagons near it and keeps those it enters (clipping
+    against the hexagon's three strips). Hexagons without an edge can only lie wholly
+    inside a polygon, so for the rest it is enough to test centres inside its box.
     """
     s = float(side)
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    boxed = polygons.filter(F.size(ring) >= 3).select(
-        F.col(ring).alias("ring"),
-        *[f(v).alias(n) for f, v, n in (
-            (F.array_min, xs, "x1"), (F.array_max, xs, "x2"),
-            (F.array_min, ys, "y1"), (F.array_max, ys, "y2"),
-        )],
-    )
-    q_low = F.floor((F.col("x1") - x0) / (1.5 * s)) - 1
-    q_high = F.ceil((F.col("x2") - x0) / (1.5 * s)) + 1
-    tall = math.sqrt(3.0) * s
-    columns = boxed.withColumn("q", F.explode(F.sequence(q_low, q_high)))
-    shift = F.col("q") / F.lit(2.0)
-    r_low = F.floor((F.col("y1") - y0) / tall - shift) - 1
-    r_high = F.ceil((F.col("y2") - y0) / tall - shift) + 1
-    cx, cy = hex_centre("q", "r", s, x0, y0)
-    cells = columns.withColumn("r", F.explode(F.sequence(r_low, r_high))).select(
-        "ring", "q", "r", cx.alias("cx"), cy.alias("cy")
-    )
+    rings = polygons.filter(F.size(ring) >= 3).select(F.col(ring).alias("ring"))
     n = F.size("ring")
     edges = F.transform(
         F.sequence(F.lit(1), n),
@@ -66,22 +66,37 @@ def hex_filter(
             F.element_at("ring", F.when(i == n, 1).otherwise(i + 1)).alias("b"),
         ),
     )
-    half = tall / 2
-
-    def enters(e):
-        ax, ay = e["a"]["x"] - F.col("cx"), e["a"]["y"] - F.col("cy")
-        bx, by = e["b"]["x"] - F.col("cx"), e["b"]["y"] - F.col("cy")
-        lows, highs = [F.lit(0.0)], [F.lit(1.0)]
-        for angle in (math.pi / 2, math.pi / 6, 5 * math.pi / 6):
-            nx, ny = math.cos(angle), math.sin(angle)
-            da, db = ax * nx + ay * ny, bx * nx + by * ny
-            slope = db - da
-            safe = F.nullif(slope, F.lit(0.0))
-            t1, t2 = (-half - da) / safe, (half - da) / safe
-            outside = F.abs(da) > half
-            lows.append(F.when(slope == 0, F.when(outside, 2.0).otherwise(0.0)).otherwise(F.least(t1, t2)))
-            highs.append(F.when(slope == 0, 1.0).otherwise(F.greatest(t1, t2)))
-        return F.greatest(*lows) <= F.least(*highs)
+    edge = rings.select(F.explode(edges).alias("e")).select(
+        *[F.col(f"e.{p}.{k}").alias(p + k) for p in "ab" for k in "xy"]
+    )
+    boxed = edge.select(
+        "*",
+        F.least("ax", "bx").alias("x1"),
+        F.greatest("ax", "bx").alias("x2"),
+        F.least("ay", "by").alias("y1"),
+        F.greatest("ay", "by").alias("y2"),
+    )
+    half = math.sqrt(3.0) * s / 2
+    lows, highs = [F.lit(0.0)], [F.lit(1.0)]
+    for angle in (math.pi / 2, math.pi / 6, 5 * math.pi / 6):
+        nx, ny = math.cos(angle), math.sin(angle)
+        da = (F.col("ax") - F.col("cx")) * nx + (F.col("ay") - F.col("cy")) * ny
+        slope = (F.col("bx") - F.col("ax")) * nx + (F.col("by") - F.col("ay")) * ny
+        safe = F.nullif(slope, F.lit(0.0))
+        t1, t2 = (-half - da) / safe, (half - da) / safe
+        beside = F.when(F.abs(da) > half, 2.0).otherwise(0.0)
+        lows.append(F.when(slope == 0, beside).otherwise(F.least(t1, t2)))
+        highs.append(F.when(slope == 0, 1.0).otherwise(F.greatest(t1, t2)))
+    entered = _hexes_in_box(boxed, s, s, x0, y0).filter(F.greatest(*lows) <= F.least(*highs))
+
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    boxes = rings.select(
+        edges.alias("edges"),
+        F.array_min(xs).alias("x1"),
+        F.array_max(xs).alias("x2"),
+        F.array_min(ys).alias("y1"),
+        F.array_max(ys).alias("y2"),
+    )
 
     def crosses_ray(e):
         ay, by = e["a"]["y"], e["b"]["y"]
@@ -89,9 +104,10 @@ def hex_filter(
         at = e["a"]["x"] + (F.col("cy") - ay) / F.nullif(by - ay, F.lit(0.0)) * (e["b"]["x"] - e["a"]["x"])
         return F.when(above & (at > F.col("cx")), 1).otherwise(0)
 
-    inside = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses_ray(e)) % 2 == 1
-    touched = cells.filter(F.exists(edges, enters) | inside)
-    return touched.select("q", "r", "cx", "cy").distinct()
+    crossings = F.aggregate("edges", F.lit(0), lambda acc, e: acc + crosses_ray(e))
+    inside = _hexes_in_box(boxes, s, 0.0, x0, y0).filter(crossings % 2 == 1)
+    found = ["q", "r", "cx", "cy"]
+    return entered.select(*found).unionAll(inside.select(*found)).distinct()
 
 
 def hex_nearest_building(
