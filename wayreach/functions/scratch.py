@@ -38,12 +38,22 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._serial = 0
+        self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
         path = self._path(label)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(kept)] = path
+        return kept
+
+    def replace(self, old: DataFrame, df: DataFrame, label: str = "t") -> DataFrame:
+        """Keep ``df``, then remove the table ``old`` that it was computed from."""
+        new = self.keep(df, label)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(old)))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return new
 
     def _path(self, label: str) -> str:
         self._serial += 1

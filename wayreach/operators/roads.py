@@ -105,7 +105,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.keep(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "cc")
     seen = mark(pairs)
     while True:
-        pairs = scratch.keep(star(star(pairs, True), False), "cc")
+        pairs = scratch.replace(pairs, star(star(pairs, True), False), "cc")
         now = mark(pairs)
         if now == seen:
             break
