@@ -212,3 +212,14 @@ def test_more_transfers_never_hurt(spark):
 
 def durations_all(od):
     return {(r["origin_aid"], r["destination_aid"]): r["duration_s"] for r in od.collect()}
+
+
+@pytest.mark.parametrize("back", [False, True], ids=["from", "to"])
+@pytest.mark.parametrize("schedule", [False, True], ids=["fixed", "schedule"])
+def test_many_runs_in_one_search(spark, schedule, back):
+    net, lim = Net(31), P.Limits(schedule=schedule, gap=900, max_time=3000)
+    times = [28500, 28800, 29700] if not back else [31000, 31300, 32000]
+    runs = P.transit_runs(*net.frames(spark), times, lim, back).collect()
+    for t in times:
+        got = {((r["place"], r["src"]) if back else (r["src"], r["place"])): (r["duration"], r["transfers"]) for r in runs if r["run"] == t}
+        assert got == brute(net, t, lim, back)

@@ -141,11 +141,15 @@ def aggregate_fields(
 # -- service areas ---------------------------------------------------------------------
 
 
-def service_area(pairs: DataFrame) -> DataFrame:
-    """Per other-side building the pair of least duration; ties go to the smallest star."""
-    rest = [c for c in pairs.columns if c not in ("star", "hash", "duration_s")]
+def service_area(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per other-side building the pair of least duration; ties go to the smallest star.
+
+    ``by`` names further keys, such as the run, for which this is done separately.
+    """
+    rest = [c for c in pairs.columns if c not in ("star", "hash", "duration_s", *by)]
     best = F.min(F.struct("duration_s", "star", *rest)).alias("b")
-    return pairs.groupBy("hash").agg(best).select("b.star", "hash", "b.duration_s", *[f"b.{c}" for c in rest])
+    found = pairs.groupBy("hash", *by).agg(best)
+    return found.select("b.star", "hash", "b.duration_s", *by, *[f"b.{c}" for c in rest])
 
 
 def first_sources(pairs: DataFrame, limit: int = MAX_PIVOT_SOURCES) -> list:

@@ -409,6 +409,42 @@ def transit_journeys(
     return (schedule_scan(journeys) if limits.schedule else journeys), labels
 
 
+def transit_runs(
+    sources: DataFrame,
+    events: DataFrame,
+    footpaths: DataFrame,
+    near_buildings: DataFrame,
+    times: Sequence[int],
+    limits: Limits,
+    backward: bool = False,
+) -> DataFrame:
+    """(src, place, run, duration, transfers) for many run times in one search.
+
+    Each distinct start time is searched once, although in schedule mode neighbouring
+    runs try the same ones; the runs share the labels and filter them separately.
+    """
+    spark = sources.sparkSession
+    starts = {t: schedule_starts(t, limits.gap, backward) if limits.schedule else [t] for t in times}
+    sign, shift = (-1, limits.gap if limits.schedule else 0) if backward else (1, 0)
+    plan = [(int(t), int(sign * (d + shift))) for t, ds in starts.items() for d in ds]
+    runs = spark.createDataFrame(plan, "run long, dep long")
+    timed = with_departures(sources, sorted({d for ds in starts.values() for d in ds}))
+    walkers = with_departures(sources, times).withColumn("run", F.col("dep"))
+    if backward:
+        timed, events, footpaths, limits = backward_inputs(timed, events, footpaths, limits)
+        walkers = walkers.withColumn("dep", -F.col("dep"))
+    labels = travel_labels(timed, events, footpaths, near_buildings.filter(F.lit(False)), limits)
+    rode = labels.filter("kind = 'b' AND k > 0").join(runs, "dep")
+    on_foot = walk_only_trips(walkers.select("src", "dep"), near_buildings).withColumn("run", sign * F.col("dep"))
+    reached = rode.unionByName(on_foot).filter(F.col("place") != F.col("src"))
+    window = None
+    if backward and limits.schedule:
+        window = F.col("start") <= -F.col("run")
+    kept = filter_journeys(journey_metrics(reached), limits, window)
+    best = F.min(F.struct("duration", "dep", "transfers")).alias("b")
+    return kept.groupBy("src", "place", "run").agg(best).select("src", "place", "run", "b.duration", "b.transfers")
+
+
 def od_rows(journeys: DataFrame, backward: bool = False) -> DataFrame:
     """(origin_aid, destination_aid, duration_s, transfers)."""
     src, place = F.col("src"), F.col("place")
