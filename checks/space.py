@@ -534,7 +534,7 @@ def hourly_roads(i):
 
 @check(
     "c2_drive_edges_hourly",
-    f"""SELECT hour, ux, uy, vx, vy, FLOOR(MIN(w) * 1000 + 0.5) / 1000 AS w FROM (
+    f"""SELECT CAST(hour AS INTEGER) AS hour, ux, uy, vx, vy, FLOOR(MIN(w) * 1000 + 0.5) / 1000 AS w FROM (
 SELECT hour, ax AS ux, ay AS uy, bx AS vx, by_ AS vy, len / (f / 3.6) AS w FROM ({HOURLY_SQL}) a WHERE f IS NOT NULL
 UNION ALL SELECT hour, bx, by_, ax, ay, len / (b / 3.6) FROM ({HOURLY_SQL}) b WHERE b IS NOT NULL) z GROUP BY hour, ux, uy, vx, vy""",
 )
@@ -632,7 +632,7 @@ def _(i):
     return car_pairs(i)
 
 
-@check("c6_congestion_factor", "SELECT COUNT(*) AS orders, FLOOR(SUM(CASE WHEN h < 6 THEN 1.0 WHEN h < 12 THEN 0.75 ELSE 0.6 END) + 0.5) AS factors FROM (SELECT o_orderkey % 3 * 6 AS h FROM {orders}) z")
+@check("c6_congestion_factor", "SELECT COUNT(*) AS orders, CAST(FLOOR(SUM(CASE WHEN h < 6 THEN 1.0 WHEN h < 12 THEN 0.75 ELSE 0.6 END) + 0.5) AS DOUBLE) AS factors FROM (SELECT o_orderkey % 3 * 6 AS h FROM {orders}) z")
 def _(i):
     """Factors of three start hours, summed over all orders."""
     congestion = tables.read_config(i.spark, "congestion")

@@ -314,8 +314,10 @@ def stop(c):
     return f"CASE WHEN {c} IS NOT NULL THEN CONCAT('s:', {c}) END"
 
 
+NUMBERS = ("Walk_time", "Wait_time", "Ride_time")
 THIRD = ", ".join(
-    f"NULL AS {c}3" for c in ("Walk_time", "BStop_ID", "Wait_time", "Bus_start_time", "Line_ID", "Ride_time", "AStop_ID", "Bus_finish_time")
+    f"CAST(NULL AS {'BIGINT' if c in NUMBERS else 'STRING'}) AS {c}3"
+    for c in ("Walk_time", "BStop_ID", "Wait_time", "Bus_start_time", "Line_ID", "Ride_time", "AStop_ID", "Bus_finish_time")
 )
 NO_RIDES = ", ".join(
     f"NULL AS {c}{k}"
