@@ -450,7 +450,7 @@ def _add_sql():
         "trips": f"SELECT CONCAT('x', trip_id) AS trip_id FROM ({ADDED_TRIPS_SQL}) a",
         "stop_times": f"SELECT CONCAT('x', trip_id) AS trip_id, stop_sequence FROM {{stop_times}} WHERE trip_id IN (SELECT trip_id FROM ({ADDED_TRIPS_SQL}) a)",
         "stops": f"""SELECT DISTINCT {OTHER_STOP} AS stop_id FROM {{stop_times}} WHERE trip_id IN (SELECT trip_id FROM ({ADDED_TRIPS_SQL}) a)
-                     AND CAST(stop_id AS BIGINT) % 2 <> 0""",
+                     AND {OTHER_STOP} NOT IN (SELECT stop_id FROM {{stops}})""",
         "calendar": f"SELECT DISTINCT CONCAT('x', service_id) AS service_id FROM ({ADDED_TRIPS_SQL}) a",
         "shapes": f"SELECT CONCAT('x', shape_id) AS shape_id, shape_pt_sequence FROM {{shapes}} WHERE shape_id IN (SELECT shape_id FROM ({ADDED_TRIPS_SQL}) a)",
     }

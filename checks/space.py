@@ -105,13 +105,10 @@ def _(i):
     return R.assign_ids(i.roads.select("link_id", "fclass"), ["fclass", "link_id"], "aid", R.FIRST_LINK_ID)
 
 
-MULTI = """SELECT link_id, {parts} FROM {{links}}"""
-
-
 def multi(i):
-    """Odd links as two parts (up to the bend, from the bend), even links as one."""
+    """Two-way links as two parts (up to the bend, from the bend), others as one."""
     two = F.array(F.slice("geom", 1, 2), F.slice("geom", 2, 2))
-    return i.roads.select("link_id", F.when(F.col("link_id") % 2 == 1, two).otherwise(F.array("geom")).alias("parts"))
+    return i.roads.select("link_id", F.when(F.col("oneway") == "B", two).otherwise(F.array("geom")).alias("parts"))
 
 
 def line_text(c):
@@ -127,15 +124,15 @@ A, M, B = ("ax", "ay"), ("mx", "my"), ("bx", "by_")
 
 @check(
     "r6_multiline_to_line",
-    f"""SELECT link_id, {xy(A, M, B)} AS line FROM {{links}} WHERE link_id % 2 = 0
-UNION ALL SELECT link_id, {xy(A, M)} FROM {{links}} WHERE link_id % 2 = 1
-UNION ALL SELECT link_id, {xy(M, B)} FROM {{links}} WHERE link_id % 2 = 1""",
+    f"""SELECT link_id, {xy(A, M, B)} AS line FROM {{links}} WHERE oneway <> 'B'
+UNION ALL SELECT link_id, {xy(A, M)} FROM {{links}} WHERE oneway = 'B'
+UNION ALL SELECT link_id, {xy(M, B)} FROM {{links}} WHERE oneway = 'B'""",
 )
 def _(i):
     return R.multiline_to_line(multi(i)).select("link_id", line_text("geom").alias("line"))
 
 
-@check("r6_multiline_straight", f"SELECT link_id, CASE WHEN link_id % 2 = 0 THEN {xy(A, M, B)} ELSE {xy(A, B)} END AS line FROM {{links}}")
+@check("r6_multiline_straight", f"SELECT link_id, CASE WHEN oneway <> 'B' THEN {xy(A, M, B)} ELSE {xy(A, B)} END AS line FROM {{links}}")
 def _(i):
     return R.multiline_to_line(multi(i), straight=True).select("link_id", line_text("geom").alias("line"))
 
@@ -182,24 +179,22 @@ def _(i):
 
 # -- buildings and zones --------------------------------------------------------------
 
-# each building as one square with a hole; every third has a second part 40 m to the east,
-# and each customer's supplier-like twin repeats the centroid of building key / 2
+# each building as one square with a hole; those of some kinds have a second part 40 m to
+# the east; every building comes again under another id, and once more without geometry
 RAW_SQL = """
 SELECT aid AS raw_id, 0 AS part, x, y, jobs FROM {buildings}
-UNION ALL SELECT aid, 1, x + 40, y, jobs FROM {buildings} WHERE aid % 3 = 0
-UNION ALL SELECT aid + 5000000, 0, x, y, jobs FROM {buildings} WHERE aid % 2 = 0"""
+UNION ALL SELECT aid, 1, x + 40, y, jobs FROM {buildings} WHERE kind IN ('FURNITURE', 'MACHINERY')
+UNION ALL SELECT aid + 5000000, 0, x, y, jobs FROM {buildings}"""
 
 
 def raw_buildings(i):
-    def shifted(df, dx):
-        return df.withColumn("x", F.col("x") + dx)
-
-    b = i.buildings.select("aid", "x", "y", "jobs")
+    b = i.buildings.select("aid", "x", "y", "jobs", "kind")
     east = F.transform(square(), lambda p: F.struct((p["x"] + 40).alias("x"), p["y"].alias("y")))
     one = F.array(square(5.0), square(1.0))
-    polygons = F.when(F.col("aid") % 3 == 0, F.array(one, F.array(east))).otherwise(F.array(one))
+    two = F.col("kind").isin("FURNITURE", "MACHINERY")
+    polygons = F.when(two, F.array(one, F.array(east))).otherwise(F.array(one))
     first = b.select(F.col("aid").alias("raw_id"), "jobs", polygons.alias("polygons"))
-    twin = b.filter(F.col("aid") % 2 == 0).select((F.col("aid") + 5000000).alias("raw_id"), "jobs", F.array(one).alias("polygons"))
+    twin = b.select((F.col("aid") + 5000000).alias("raw_id"), "jobs", F.array(one).alias("polygons"))
     nothing = b.select((F.col("aid") + 9000000).alias("raw_id"), "jobs", F.lit(None).cast(first.schema["polygons"].dataType).alias("polygons"))
     return first.unionAll(twin).unionAll(nothing)
 

@@ -27,7 +27,7 @@ def clean_feed(feed: dict[str, DataFrame], date: int | None = None) -> dict[str,
         services = gtfs_clean.services_on_date(feed.get("calendar"), feed.get("calendar_dates"), date)
         trips, times = gtfs_clean.filter_trips_by_service(trips, times, services)
     seconds = X.time_to_seconds("arrival_time").cast("long")
-    times = times.select("trip_id", "stop_id", "stop_sequence", seconds.alias("t"))
+    times = scratch.keep(times.select("trip_id", "stop_id", "stop_sequence", seconds.alias("t")), "read")
     times = scratch.keep(gtfs_clean.interpolate_times(times, ["stop_sequence", "stop_id"]), "timed")
     if "frequencies" in feed:
         runs = feed["frequencies"].select(
