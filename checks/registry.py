@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .derived import Inputs, oracle
 
+BUILDS: dict[str, Callable[[Inputs], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -19,6 +20,7 @@ def check(name: str, sql: str | None = None):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(Inputs(spark, sf_dir))
 
+        BUILDS[name] = build
         QUERIES[name] = query
         if sql is not None:
             SQL[name] = oracle(sql)

@@ -4,7 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks.derived import Inputs
+from checks.registry import BUILDS
 from tools.compare import BASE, compare
+from wayreach.functions.scratch import Scratch
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,9 +20,21 @@ def con():
     return connection
 
 
+@pytest.fixture(scope="module")
+def inputs(spark):
+    """One set of derived tables for all queries; those used most are written once."""
+    shared, scratch = Inputs(spark, SF_DIR), Scratch(spark, "test-inputs")
+    for name in "routes trips stop_times links footpaths sources near_buildings".split():
+        shared._made[name] = scratch.keep(getattr(shared, name), name)
+    return shared
+
+
 @pytest.mark.parametrize("name", entry.queries())
-def test_query(spark, con, name):
-    text, _seconds, ok = compare(spark, con, SF_DIR, name, entry.queries()[name], entry.oracle_sql().get(name))
+def test_query(spark, con, inputs, name):
+    def query(_spark, _sf_dir):
+        return BUILDS[name](inputs)
+
+    text, _seconds, ok = compare(spark, con, SF_DIR, name, query, entry.oracle_sql().get(name))
     assert ok, text
 
 
