@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.derived import Inputs
-from checks.registry import BUILDS
+from checks.registry import BUILDS, SQL
 from tools.compare import BASE, compare
 from wayreach.functions.scratch import Scratch
 
@@ -29,7 +29,7 @@ def inputs(spark):
     return shared
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", BUILDS)
 def test_query(spark, con, inputs, name):
     def query(_spark, _sf_dir):
         return BUILDS[name](inputs)
@@ -44,4 +44,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert BUILDS.keys() == SQL.keys() and BUILDS.keys() <= entry.queries().keys()

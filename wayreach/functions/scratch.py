@@ -42,7 +42,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
-        path = self._path(label)
+        path = self.path(label)
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(kept)] = path
@@ -55,6 +55,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return new
 
-    def _path(self, label: str) -> str:
+    def path(self, label: str) -> str:
         self._serial += 1
         return f"{self.root}/{self._serial:04d}-{label}"
