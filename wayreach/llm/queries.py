@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayreach.functions.scratch import Scratch
-from wayreach.llm import bpe, token_table
+from wayreach.llm import block_knn, bpe, licences, line_dedup, token_table
 
 BYTE_BPE = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,18 @@ def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_table.write(docs, path, public_tokenizers.path(BYTE_BPE), end_id=0)
     rows = token_table.read(spark, path)
     return rows.select("doc_id", "start", "n_tokens", token_table.checksum(F.col("ids")).alias("ids_crc32"))
+
+
+@query(line_dedup.sql())
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query(licences.sql())
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
+
+
+@query()
+def op10_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
