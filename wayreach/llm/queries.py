@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayreach.functions.scratch import Scratch
-from wayreach.llm import block_knn, bpe, licences, line_dedup, token_table
+from wayreach.llm import block_knn, bpe, decontam, language, lattice_lm, licences, line_dedup, near_dedup, token_table, warc
+from wayreach.llm.columns import id_hash
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -66,3 +68,37 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_hash(F.col("doc_id")) % 4 == 2, F.lit(False))
+    model = language.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    named = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return named.select("doc_id", "held_out", "lang_pred", "score", "bits_a_byte")
+
+
+@query()
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    index = warc.merge_index(scratch.keep(warc.read(spark, path), "runs"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "file", "offset")
+
+
+@query()
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_hash(F.col("doc_id")) % 5 == 1
+    return lattice_lm.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path(PIECES))
