@@ -284,7 +284,7 @@ def oracle(text: str) -> str:
         sql = SERIES.sub(r"unnest(generate_series(\1, \2))", sql)
         return NAME.sub(lambda m: f"d_{m[1]}" if m[1] in VIEWS else m[1], sql).strip()
 
-    ctes = ",\n".join(f"d_{n} AS ({render(VIEWS[n])})" for n in needed)
+    ctes = ",\n".join(f"d_{n} AS MATERIALIZED ({render(VIEWS[n])})" for n in needed)
     body = render(text)
     if not ctes:
         return body

@@ -491,15 +491,19 @@ def _(i):
 
 @check(
     "g18_routes_by_shape",
-    """SELECT u.shape_id, u.route_id, r.route_short_name, p.path
+    """SELECT u.shape_id, u.route_id, r.route_short_name, p.piece_no, p.path
 FROM (SELECT DISTINCT shape_id, route_id FROM {trips}) u JOIN {routes} r ON r.route_id = u.route_id
-JOIN (SELECT shape_id, STRING_AGG(CONCAT(CAST(CAST(x AS BIGINT) AS STRING), ' ', CAST(CAST(y AS BIGINT) AS STRING)), ',' ORDER BY shape_pt_sequence) AS path
-      FROM {shapes} GROUP BY shape_id) p ON p.shape_id = u.shape_id""",
+JOIN (SELECT shape_id, piece_no, COUNT(*) AS n, STRING_AGG(CONCAT(CAST(CAST(x AS BIGINT) AS STRING), ' ', CAST(CAST(y AS BIGINT) AS STRING)), ',' ORDER BY pos) AS path
+      FROM (SELECT *, CAST(FLOOR((pos - 1) / 3) AS BIGINT) AS piece_no FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY shape_id ORDER BY shape_pt_sequence) AS pos FROM {shapes}) a
+            UNION ALL
+            SELECT *, CAST(FLOOR((pos - 1) / 3) AS BIGINT) - 1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY shape_id ORDER BY shape_pt_sequence) AS pos FROM {shapes}) b
+            WHERE pos > 1 AND (pos - 1) % 3 = 0) c
+      GROUP BY shape_id, piece_no) p ON p.shape_id = u.shape_id WHERE p.piece_no = 0 OR p.n > 1""",
 )
 def _(i):
-    lines = G.routes_by_shape(i.routes, i.trips, i.shapes)
+    lines = G.routes_by_shape(i.routes, i.trips, i.shapes, piece=3)
     point = F.transform("path", lambda p: F.concat_ws(" ", p["x"].cast("long").cast("string"), p["y"].cast("long").cast("string")))
-    return lines.select("shape_id", "route_id", "route_short_name", F.array_join(point, ",").alias("path"))
+    return lines.select("shape_id", "route_id", "route_short_name", "piece_no", F.array_join(point, ",").alias("path"))
 
 
 @check(

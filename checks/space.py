@@ -9,6 +9,7 @@ from wayreach.operators import car as C
 from wayreach.operators import roads as R
 from wayreach.operators import walk as WK
 from wayreach.operators import zones as Z
+from wayreach.plans import build
 from wayreach.sources import tables
 
 from .derived import LAT0, LON0
@@ -82,6 +83,31 @@ def _(i):
     return pieces.select("link_id", "piece", "seq", m3("ax").alias("ax"), m3("ay").alias("ay"), m3("bx").alias("bx"), m3("by").alias("by2"))
 
 
+def line_sql(order: str, first: str, last: str) -> str:
+    """Corner points of each piece as text, in one direction."""
+    point = "CONCAT(CAST(CAST(%s AS BIGINT) AS STRING), ' ', CAST(CAST(%s AS BIGINT) AS STRING))"
+    a, b = point % ("ax * 1000", "ay * 1000"), point % ("bx * 1000", "by2 * 1000")
+    ends = {"a": a, "b": b}
+    return f"CONCAT(FIRST({ends[first]} ORDER BY seq {order}), ',', STRING_AGG({ends[last]}, ',' ORDER BY seq {order}))"
+
+
+# whole job: cut at crossings, with attributes, of equal pieces the first of the best class
+CLEAN_SQL = f"""
+SELECT source_link, geo, fclass, oneway, maxspeed FROM (
+  SELECT p.link_id AS source_link, p.geo, l.fclass, l.oneway, l.maxspeed,
+         ROW_NUMBER() OVER (PARTITION BY LEAST(p.geo, p.back) ORDER BY COALESCE(c.priority, 0) DESC, p.link_id, p.piece) AS rn
+  FROM (SELECT link_id, piece, {line_sql("ASC", "a", "b")} AS geo, {line_sql("DESC", "b", "a")} AS back FROM ({BREAK_SQL}) z GROUP BY link_id, piece) p
+  JOIN {{links}} l ON l.link_id = p.link_id LEFT JOIN {CLASSES_SQL} ON c.fclass = l.fclass) y WHERE rn = 1"""
+
+
+@check("j1_clean_roads", CLEAN_SQL)
+def _(i):
+    cleaned = build.clean_roads(i.roads, i.classes)
+    mm = lambda v: F.floor(v * 1000 + 0.5).cast("long").cast("string")
+    geo = F.array_join(F.transform("geom", lambda p: F.concat_ws(" ", mm(p["x"]), mm(p["y"]))), ",")
+    return cleaned.select("source_link", geo.alias("geo"), "fclass", "oneway", "maxspeed")
+
+
 @check(
     "r3_dedupe_links",
     f"""SELECT link_id, fclass FROM (SELECT d.*, ROW_NUMBER() OVER (PARTITION BY geo ORDER BY COALESCE(c.priority, 0) DESC, link_id) AS rn
@@ -739,24 +765,28 @@ def _(i):
 
 @check(
     "x9_closest_on_segment",
-    """SELECT link_id, seg, FLOOR((ax + t * (bx - ax)) * 1000 + 0.5) / 1000 AS qx, FLOOR((ay + t * (by_ - ay)) * 1000 + 0.5) / 1000 AS qy
+    """SELECT link_id, seg, FLOOR((ax + t * (bx - ax)) * 1000 + 0.5) / 1000 AS qx, FLOOR((ay + t * (by_ - ay)) * 1000 + 0.5) / 1000 AS qy,
+  FLOOR(SQRT((ax + t * (bx - ax) - 1000) * (ax + t * (bx - ax) - 1000) + (ay + t * (by_ - ay) - 1000) * (ay + t * (by_ - ay) - 1000)) * 1000 + 0.5) / 1000 AS d
 FROM (SELECT *, GREATEST(CAST(0.0 AS DOUBLE), LEAST(CAST(1.0 AS DOUBLE), ((1000 - ax) * (bx - ax) + (1000 - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM {segments}) z""",
 )
 def _(i):
     segs = R.segments(i.roads)
-    qx, qy, _d = X.closest_on_segment(F.lit(1000), F.lit(1000), "ax", "ay", "bx", "by")
-    return segs.select("link_id", "seg", m3(qx).alias("qx"), m3(qy).alias("qy"))
+    qx, qy, d = X.closest_on_segment(F.lit(1000), F.lit(1000), "ax", "ay", "bx", "by")
+    return segs.select("link_id", "seg", m3(qx).alias("qx"), m3(qy).alias("qy"), m3(d).alias("d"))
 
 
 @check(
     "x10_project_tm",
-    """SELECT stop_id, FLOOR((500000 + 0.9996 * n * (a + (1 - t + c) * POW(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * POW(a, 5) / 120)) * 1000 + 0.5) / 1000 AS x
+    """SELECT stop_id, FLOOR((500000 + 0.9996 * n * (a + (1 - t + c) * POW(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * POW(a, 5) / 120)) * 1000 + 0.5) / 1000 AS x,
+  FLOOR(0.9996 * (6378137.0 * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * phi - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * SIN(2 * phi)
+    + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * SIN(4 * phi) - (35 * e2 * e2 * e2 / 3072) * SIN(6 * phi))
+    + n * TAN(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * POW(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * POW(a, 6) / 720)) * 1000 + 0.5) / 1000 AS y
 FROM (SELECT *, 6378137.0 / SQRT(1 - e2 * POW(SIN(phi), 2)) AS n, POW(TAN(phi), 2) AS t, ep2 * POW(COS(phi), 2) AS c, COS(phi) * RADIANS(stop_lon - 33) AS a
       FROM (SELECT *, e2 / (1 - e2) AS ep2 FROM (SELECT stop_id, stop_lon, RADIANS(stop_lat) AS phi, CAST(0.0066943799901413165 AS DOUBLE) AS e2 FROM {stops}) p) q) r""",
 )
 def _(i):
-    x, _y = X.project_tm("stop_lon", "stop_lat", 33.0)
-    return i.stops.select("stop_id", m3(x).alias("x"))
+    x, y = X.project_tm("stop_lon", "stop_lat", 33.0)
+    return i.stops.select("stop_id", m3(x).alias("x"), m3(y).alias("y"))
 
 
 @check(

@@ -8,6 +8,7 @@ from wayreach.functions import expr as X
 from wayreach.operators import measures as A
 from wayreach.operators import timetable as TT
 from wayreach.operators import transit as P
+from wayreach.plans import access
 
 from .derived import Inputs
 from .registry import check
@@ -34,7 +35,7 @@ def labels_sql(limits: P.Limits, backward: bool = False, rounds: int | None = No
         f"""l0 AS MATERIALIZED (
   SELECT s.src, d.dep, f.to_id AS place, 's' AS kind, d.dep + f.walk_s AS t, d.dep AS start, f.walk_s, s.src AS prev,
          CAST(NULL AS BIGINT) AS board_t, CAST(NULL AS STRING) AS trip
-  FROM {{sources}} s JOIN (VALUES {values}) d(dep) ON TRUE JOIN {{footpaths}} f ON f.from_id = s.src AND f.to_kind = 's' AND f.walk_s <= {limits.walk1}
+  FROM {{sources}} s JOIN (VALUES {values}) d(dep) ON TRUE JOIN {{footpaths}} f ON f.from_id = s.src AND f.from_kind = 'b' AND f.to_kind = 's' AND f.walk_s <= {limits.walk1}
   UNION ALL
   SELECT n.src, d.dep, n.place, 'b', {walk_base} + n.walk_s, CAST({walk_base} AS BIGINT), n.walk_s, n.src, NULL, NULL
   FROM {{near_buildings}} n JOIN (VALUES {values}) d(dep) ON TRUE WHERE n.src <> n.place)""",
@@ -62,9 +63,9 @@ def labels_sql(limits: P.Limits, backward: bool = False, rounds: int | None = No
   FROM l{k - 1} l JOIN o{k} o ON o.stop_id = l.place AND o.t = l.t WHERE l.kind = 's' AND o.alight_t <= l.dep + {limits.horizon}) z WHERE rn = 1)""",
             f"""w{k} AS MATERIALIZED (SELECT src, dep, place, kind, t, start, walk_s, prev, CAST(NULL AS BIGINT) AS board_t, CAST(NULL AS STRING) AS trip FROM (
   SELECT r.src, r.dep, f.to_id AS place, f.to_kind AS kind, r.t + f.walk_s AS t, r.start, f.walk_s, r.place AS prev,
-         ROW_NUMBER() OVER (PARTITION BY r.src, r.dep, f.to_id ORDER BY r.t + f.walk_s, r.start DESC, r.place, f.walk_s) AS rn
-  FROM r{k} r JOIN {{footpaths}} f ON f.from_id = r.place AND {allowed} WHERE r.t + f.walk_s <= r.dep + {limits.horizon}
-    AND NOT EXISTS (SELECT 1 FROM r{k} q WHERE q.src = r.src AND q.dep = r.dep AND q.place = f.to_id)) z WHERE rn = 1)""",
+         ROW_NUMBER() OVER (PARTITION BY r.src, r.dep, f.to_id, f.to_kind ORDER BY r.t + f.walk_s, r.start DESC, r.place, f.walk_s) AS rn
+  FROM r{k} r JOIN {{footpaths}} f ON f.from_id = r.place AND f.from_kind = 's' AND {allowed} WHERE r.t + f.walk_s <= r.dep + {limits.horizon}
+    AND NOT EXISTS (SELECT 1 FROM r{k} q WHERE q.src = r.src AND q.dep = r.dep AND q.place = f.to_id AND f.to_kind = 's')) z WHERE rn = 1)""",
             f"l{k} AS MATERIALIZED (SELECT * FROM r{k} UNION ALL SELECT * FROM w{k})",
         ]
     return "WITH " + ",\n".join(parts)
@@ -235,7 +236,7 @@ def _(i):
     "p14_all_destinations",
     labels_sql(LIMITS)
     + f"""SELECT src, dep, place, kind, duration, transfers FROM (SELECT *, t - start AS duration, GREATEST(k - 1, 0) AS transfers,
-  ROW_NUMBER() OVER (PARTITION BY src, place ORDER BY t - start, GREATEST(k - 1, 0), -k) AS rn FROM ({ALL_LABELS}) e WHERE walk_s <= 400 AND place <> src) z WHERE rn = 1""",
+  ROW_NUMBER() OVER (PARTITION BY src, place, kind ORDER BY t - start, GREATEST(k - 1, 0), -k) AS rn FROM ({ALL_LABELS}) e WHERE walk_s <= 400 AND (place <> src OR kind <> 'b')) z WHERE rn = 1""",
 )
 def _(i):
     found = P.all_destinations(rounds(i), LIMITS, include_stops=True)
@@ -386,28 +387,31 @@ def _(i):
 
 def od_pairs(i):
     od = P.transit_from(i.sources, i.stop_events, i.footpaths, i.near_buildings, START, LIMITS)
-    return od.select(
-        F.col("origin_aid").cast("long").alias("star"), F.col("destination_aid").cast("long").alias("hash"), "duration_s"
-    )
+    return A.with_own_pairs(access.pairs(od, False), stars(i))
+
+
+def stars(i):
+    return i.sources.select(F.col("src").cast("long").alias("star"))
 
 
 @check(
     "a3_cumulative_opportunities_transit",
     journeys_sql(LIMITS)
     + """SELECT CAST(s.src AS BIGINT) AS star, n.bin, n.bin * 300 AS bound_s, 1 + COUNT(j.place) AS nbldg, CAST(MIN(a.jobs) + COALESCE(SUM(h.jobs), 0) AS BIGINT) AS jobs
-FROM (SELECT DISTINCT src FROM j) s JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) n(bin) ON TRUE
+FROM {sources} s JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9)) n(bin) ON TRUE
 JOIN {buildings} a ON CAST(a.aid AS STRING) = s.src
 LEFT JOIN j ON j.src = s.src AND j.duration <= n.bin * 300 LEFT JOIN {buildings} h ON CAST(h.aid AS STRING) = j.place GROUP BY s.src, n.bin""",
 )
 def _(i):
-    return A.cumulative_opportunities(od_pairs(i), 300, LIMITS.max_time, i.buildings, ["jobs"])
+    return A.cumulative_opportunities(od_pairs(i), 300, LIMITS.max_time, i.buildings, ["jobs"], sources=stars(i))
 
 
 @check(
     "a2_service_area_transit",
     journeys_sql(LIMITS)
     + """SELECT CAST(src AS BIGINT) AS star, CAST(place AS BIGINT) AS hash, duration AS duration_s FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY place ORDER BY duration, CAST(src AS BIGINT)) AS rn FROM j) z WHERE rn = 1""",
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY place ORDER BY duration, CAST(src AS BIGINT)) AS rn
+  FROM (SELECT src, place, duration FROM j UNION ALL SELECT src, src, 0 FROM {sources}) p) z WHERE rn = 1""",
 )
 def _(i):
     return A.service_area(od_pairs(i))

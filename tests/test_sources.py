@@ -139,7 +139,7 @@ def test_shapes_come_in_pieces(spark):
     trips = spark.createDataFrame([("r", "s")], "route_id string, shape_id string")
     shapes = spark.createDataFrame([("s", n, float(n), 0.0) for n in range(25, 0, -1)], "shape_id string, shape_pt_sequence int, x double, y double")
     pieces = gtfs_clean.routes_by_shape(routes, trips, shapes, piece=10).orderBy("piece_no").collect()
-    assert [[p["x"] for p in r["path"]] for r in pieces] == [list(range(1, 11)), list(range(11, 21)), list(range(21, 26))]
+    assert [[p["x"] for p in r["path"]] for r in pieces] == [list(range(1, 12)), list(range(11, 22)), list(range(21, 26))]
 
 
 def test_measures_edges(spark):
@@ -235,3 +235,26 @@ def test_check_features(spark):
     assert tables.check_features(None, "n", spark=spark).first()["message"] == "Layer is not selected"
     assert not tables.check_features(df.filter("aid > 1"), "n").first()["ok"]
     assert tables.check_features(df, "n", "aid").first()["ok"]
+
+
+def test_the_first_row_of_a_repeated_id_stays(spark):
+    base = spark.createDataFrame([("a", "first"), ("b", "one"), ("a", "second")], "route_id string, route_desc string").coalesce(1)
+    extra = spark.createDataFrame([("b", "other"), ("c", "first"), ("c", "second")], "route_id string, route_desc string").coalesce(1)
+    rows = gtfs_clean._append(base, extra, ["route_id"]).collect()
+    assert sorted(map(tuple, rows)) == [("a", "first"), ("b", "one"), ("c", "first")]
+
+
+def test_a_feed_without_services_is_refused():
+    with pytest.raises(ValueError, match="calendar"):
+        gtfs_clean.services_on_date(None, None, 20240205)
+
+
+def test_sources_count_themselves_and_may_reach_nothing(spark):
+    pairs = spark.createDataFrame([(11, 22, 420), (11, 30, 60)], "star long, hash long, duration_s long")
+    sources = spark.createDataFrame([(11,), (22,)], "star long")
+    own = measures.with_own_pairs(pairs, sources)
+    area = {r["hash"]: (r["star"], r["duration_s"]) for r in measures.service_area(own).collect()}
+    assert area == {11: (11, 0), 22: (22, 0), 30: (11, 60)}
+    jobs = spark.createDataFrame([(11, 1), (22, 10), (30, 100)], "aid long, jobs long")
+    rows = measures.cumulative_opportunities(pairs, 300, 600, jobs, ["jobs"], sources=sources).collect()
+    assert {(r["star"], r["bin"], r["nbldg"], r["jobs"]) for r in rows} == {(11, 1, 2, 101), (11, 2, 3, 111), (22, 1, 1, 10), (22, 2, 1, 10)}

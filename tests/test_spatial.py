@@ -221,3 +221,17 @@ def test_ring_and_distances(spark):
     assert (r["area"], r["c"]["x"], r["c"]["y"], r["pc"]["x"]) == (18.0, 3.0, 1.5, 0.0)
     assert abs(r["north"] - 110574.389) < 0.01 and abs(r["east"] - 111319.491) < 0.01 and r["none"] == 0
     assert abs(r["sphere"] - 111195.08) < 0.1
+
+
+def test_nearest_ends_without_targets_and_without_coordinates(spark):
+    schema = "id int, x double, y double"
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 1e6, 1e6)], schema)
+    none = spark.createDataFrame([], "aid long, x double, y double")
+    found = near.nearest_point(points, none, "aid", None)
+    assert found.count() == 0 and {"id", "aid", "d"} <= set(found.columns)
+    targets = spark.createDataFrame([(7, 3.0, 4.0), (8, None, None)], "aid long, x double, y double")
+    got = {r["id"]: (r["aid"], round(r["d"], 3)) for r in near.nearest_point(points, targets, "aid", None, 0.5).collect()}
+    assert got == {1: (7, 5.0), 3: (7, round(math.hypot(1e6 - 3, 1e6 - 4), 3))}
+    assert near.nearest_point(points.limit(0), targets, "aid", None).count() == 0
+    hexes = spark.createDataFrame([(0, 0, 0.0, 0.0)], "q long, r long, cx double, cy double")
+    assert zones.hex_nearest_building(hexes, none, 10.0).count() == 0

@@ -223,3 +223,37 @@ def test_many_runs_in_one_search(spark, schedule, back):
     for t in times:
         got = {((r["place"], r["src"]) if back else (r["src"], r["place"])): (r["duration"], r["transfers"]) for r in runs if r["run"] == t}
         assert got == brute(net, t, lim, back)
+
+
+def test_a_building_with_the_number_of_a_stop(spark):
+    events = [("R", "T", 1, "5", 100), ("R", "T", 2, "6", 200)]
+    walks = [
+        ("1", "b", "5", "s", 10), ("6", "s", "9", "b", 20),
+        # house 5 and house 6 lie elsewhere; stop 5 has no path to a stop 8
+        ("5", "b", "8", "s", 5), ("6", "b", "7", "b", 1), ("6", "s", "6", "b", 30),
+    ]
+    ev = spark.createDataFrame(events, "route_id string, trip_id string, stop_sequence int, stop_id string, t long")
+    fp = spark.createDataFrame([(*w, w[-1]) for w in walks], "from_id string, from_kind string, to_id string, to_kind string, dist_m long, walk_s long")
+    near = spark.createDataFrame([], "src string, place string, walk_s long")
+    sources = spark.createDataFrame([("1",), ("5",)], "src string")
+    limits = P.Limits(max_transfers=0)
+    found, labels = P.transit_journeys(sources, timetable.stop_events(ev), fp, near, 50, limits)
+    assert {(r["src"], r["place"], r["duration"]) for r in found.collect()} == {("1", "9", 170), ("1", "6", 180)}
+    every = P.all_destinations(labels, limits, include_stops=True).collect()
+    assert ("1", "6", "b") in {(r["src"], r["place"], r["kind"]) for r in every}
+
+
+def test_trip_table_shows_every_ride(spark):
+    events = [(f"R{k}", f"T{k}", n, f"S{k + n - 1}", 1000 + 200 * k + 100 * n) for k in range(4) for n in (1, 2)]
+    walks = [("1", "b", "S0", "s", 10), ("S4", "s", "2", "b", 20)]
+    ev = spark.createDataFrame(events, "route_id string, trip_id string, stop_sequence int, stop_id string, t long")
+    fp = spark.createDataFrame([(*w, w[-1]) for w in walks], "from_id string, from_kind string, to_id string, to_kind string, dist_m long, walk_s long")
+    near = spark.createDataFrame([], "src string, place string, walk_s long")
+    sources = spark.createDataFrame([("1",)], "src string")
+    limits = P.Limits(max_transfers=3)
+    found, labels = P.transit_journeys(sources, timetable.stop_events(ev), fp, near, 1000, limits)
+    rows = P.trip_table(sources, found, labels, 1000, limits).collect()
+    trip = next(r for r in rows if r["Destination_aid"] == "2")
+    assert trip["Legs"] == 4 and [trip[f"Line_ID{k}"] for k in range(1, 5)] == [f"R{k}_T{k}" for k in range(4)]
+    parts = sum(trip[f"{c}{k}"] or 0 for k in range(1, 5) for c in ("Walk_time", "Wait_time", "Ride_time"))
+    assert parts + trip["DestWalk_time"] == trip["Duration"]

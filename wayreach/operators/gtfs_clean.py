@@ -35,6 +35,8 @@ def services_on_date(calendar: DataFrame | None, calendar_dates: DataFrame | Non
     """Services running on ``date`` (yyyymmdd): the weekly calendar, plus and minus exceptions."""
     import datetime
 
+    if calendar is None and calendar_dates is None:
+        raise ValueError("a feed needs calendar or calendar_dates")
     weekday = WEEKDAYS[datetime.datetime.strptime(str(date), "%Y%m%d").weekday()]
     running = None
     if calendar is not None:
@@ -304,18 +306,25 @@ def delete_routes(
     if "shapes" in feed:
         split("shapes", kept["trips"], "shape_id", removed["trips"])
         for side in (kept, removed):
-            side["shapes"] = side["shapes"].dropDuplicates(["shape_id", "shape_pt_sequence"])
+            side["shapes"] = first_rows(side["shapes"], ["shape_id", "shape_pt_sequence"])
     if "agency" in feed:
         kept["agency"] = removed["agency"] = feed["agency"]
     return kept, removed
 
 
+def first_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The first row of each key in the order of the table (of its files, if it was read from files)."""
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    first = numbered.groupBy(*key).agg(F.min_by(F.struct(*df.columns), "__row").alias("first"))
+    return first.select("first.*")
+
+
 def _append(base: DataFrame, extra: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """Rows of ``base`` and then of ``extra`` in base's columns; with a key, first row wins."""
     extra = extra.select(*[c for c in base.columns if c in extra.columns])
     if key:
-        base = base.dropDuplicates(list(key))
-        extra = extra.dropDuplicates(list(key)).join(base, list(key), "left_anti")
+        base = first_rows(base, key)
+        extra = first_rows(extra.join(base, list(key), "left_anti"), key)
     return base.unionByName(extra, allowMissingColumns=True)
 
 
@@ -356,7 +365,7 @@ def add_routes(
         if "shapes" in base and extra is not None:
             out["shapes"] = _append(base["shapes"], extra, ["shape_id", "shape_pt_sequence"])
         elif extra is not None:
-            out["shapes"] = extra.dropDuplicates(["shape_id", "shape_pt_sequence"])
+            out["shapes"] = first_rows(extra, ["shape_id", "shape_pt_sequence"])
     return out
 
 
@@ -389,14 +398,19 @@ def routes_by_shape(
     """Polylines per (shape, route) with the route's attributes.
 
     A path longer than ``piece`` vertices comes in several rows (``piece_no``), so no
-    single row grows without bound; consecutive pieces share no vertex.
+    single row grows without bound; the last vertex of a piece is the first of the next.
     """
     users = trips.select("shape_id", "route_id").distinct()
     points = number_rows(shapes, ["shape_id"], [F.col("shape_pt_sequence")], "pos", max_rows)
-    points = points.withColumn("piece_no", F.floor((F.col("pos") - 1) / piece))
+    number = F.floor((F.col("pos") - 1) / piece)
+    border = (F.col("pos") > 1) & ((F.col("pos") - 1) % piece == 0)
+    numbers = F.when(border, F.array(number - 1, number)).otherwise(F.array(number))
+    points = points.withColumn("piece_no", F.explode(numbers))
     lines = points.groupBy("shape_id", "piece_no").agg(
         F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("path")
     )
+    # a path that ends on a border needs no further piece
+    lines = lines.filter((F.col("piece_no") == 0) | (F.size("path") > 1))
     path = F.transform("path", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return users.join(routes, "route_id").join(lines.withColumn("path", path), "shape_id")
 

@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions import expr as X
 
-MAX_PIVOT_SOURCES = 10
-
 
 # -- time bins -----------------------------------------------------------------------
 
@@ -81,18 +79,21 @@ def cumulative_opportunities(
     fields: Sequence[str] = (),
     include_self: bool = True,
     count: bool = True,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """(star, bin, bound_s, nbldg, <field>...): everything reached within each bound.
 
     Each pair is put into its first bin and summed there before the shuffle; the running
     sum over at most a few dozen bins per source then gives 'at most the bound'. The
     source itself counts once, at duration 0. ``attributes`` is (aid, fields...).
+    ``sources`` (star) names all sources, also those that reach nothing else; without it
+    only sources with pairs are known.
     """
     bounds = bin_bounds(max_time, step_s)
     rows = pairs.select("star", "hash", "duration_s")
     if include_self:
         rows = rows.filter(F.col("star") != F.col("hash"))
-        own = pairs.select("star").distinct()
+        own = (pairs if sources is None else sources).select("star").distinct()
         rows = rows.unionByName(own.select("star", F.col("star").alias("hash"), F.lit(0).cast("long").alias("duration_s")))
     rows = rows.withColumn("bin", first_bin(F.col("duration_s"), bounds))
     used = numeric_fields(attributes, fields) if attributes is not None else []
@@ -152,18 +153,22 @@ def service_area(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.select("b.star", "hash", "b.duration_s", *by, *[f"b.{c}" for c in rest])
 
 
-def first_sources(pairs: DataFrame, limit: int = MAX_PIVOT_SOURCES) -> list:
-    """The ``limit`` smallest star ids: the columns of a pivot."""
-    return [r[0] for r in pairs.select("star").distinct().orderBy("star").limit(limit).collect()]
+def with_own_pairs(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``pairs`` (star, hash, duration_s) and each source (star) with itself at duration 0."""
+    own = sources.select("star", F.col("star").alias("hash"), F.lit(0).cast("long").alias("duration_s")).distinct()
+    others = pairs.filter(F.col("star") != F.col("hash"))
+    return others.unionByName(own, allowMissingColumns=True)
 
 
-def pivot_by_source(
-    pairs: DataFrame, sources: Sequence | None = None, value: str = "duration_s", prefix: str = "Duration_"
-) -> DataFrame:
-    """(hash, Duration_<star>...) for at most ten sources, the report's own limit."""
-    stars = first_sources(pairs) if sources is None else list(sources)
-    named = pairs.filter(F.col("star").isin(stars))
-    cells = [F.min(F.when(F.col("star") == s, F.col(value))).alias(f"{prefix}{s}") for s in stars]
+def by_source(pairs: DataFrame, value: str = "duration_s") -> DataFrame:
+    """(hash, star, <value>): the least value of each pair, for any number of sources."""
+    return pairs.groupBy("hash", "star").agg(F.min(value).alias(value))
+
+
+def pivot_by_source(pairs: DataFrame, sources: Sequence, value: str = "duration_s", prefix: str = "Duration_") -> DataFrame:
+    """(hash, Duration_<star>...) with a column for each of the given sources."""
+    named = pairs.filter(F.col("star").isin(list(sources)))
+    cells = [F.min(F.when(F.col("star") == s, F.col(value))).alias(f"{prefix}{s}") for s in sources]
     return named.groupBy("hash").agg(*cells)
 
 
@@ -323,9 +328,9 @@ def roundtrip_bins(
 
 
 def roundtrip_pivot(stats: DataFrame, sources: Sequence | None = None) -> DataFrame:
-    """(hash, Duration_mean_<o_id>...) of the mean round trip."""
+    """Mean round trips by source: (hash, star, mean), or with a list of sources (hash, Duration_mean_<o_id>...)."""
     pairs = stats.select(F.col("o_id").alias("star"), F.col("d_id").alias("hash"), "mean")
-    return pivot_by_source(pairs, sources, "mean", "Duration_mean_")
+    return by_source(pairs, "mean") if sources is None else pivot_by_source(pairs, sources, "mean", "Duration_mean_")
 
 
 def default_step_s(start: int, end: int) -> int:

@@ -6,6 +6,7 @@ adaptive execution splits cells that hold more than their share.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -63,15 +64,24 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFra
     return pairs.filter(F.col("d") <= radius).drop("__c", "__rx", "__ry")
 
 
+def extent(points: DataFrame, targets: DataFrame) -> float:
+    """A distance that no point and target exceed; 0 if there are no points or no targets."""
+    boxes = [df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for df in (points, targets)]
+    if any(v is None for box in boxes for v in box):
+        return 0.0
+    (a, b, c, d), (e, f, g, h) = boxes
+    return math.hypot(max(b, f) - min(a, e), max(d, h) - min(c, g)) + 1.0
+
+
 def _nearest(points, limit, first, candidates, scratch) -> DataFrame:
     """Resolve each distinct point at the smallest radius that proves its answer.
 
     ``candidates(todo, r)`` gives (x, y, best) with ``best.d``; an answer found
     within radius r is exact, because everything that near was a candidate. Radii
-    double from ``first`` to ``limit``, or without a limit until all are resolved.
+    double from ``first`` to ``limit``; points without coordinates find nothing.
     """
-    todo = points.select("x", "y").distinct()
-    r = first if limit is None else min(first, limit)
+    todo = points.filter("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct()
+    r = min(first, limit)
     found = []
     while True:
         answers = candidates(todo, r).filter(F.col("best.d") <= r)
@@ -81,7 +91,7 @@ def _nearest(points, limit, first, candidates, scratch) -> DataFrame:
         todo = scratch.keep(todo.join(found[-1], ["x", "y"], "left_anti"), f"todo-{r:g}")
         if todo.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        r = r * 2 if limit is None else min(r * 2, limit)
+        r = min(r * 2, limit)
 
 
 def nearest_point(
@@ -110,7 +120,13 @@ def nearest_point(
         return places.select(F.struct(cell("tx", r).alias("cx"), cell("ty", r).alias("cy")).alias("c"))
 
     scratch = Scratch(points.sparkSession, "nearest-point")
-    start = fitting_cell(cells_at, float(first or limit or 50.0))
+    if limit is None:
+        # however far, but not farther than the data reach
+        limit, first = extent(points, targets), first or 50.0
+        if not limit:
+            kind = targets.schema[target_id].dataType
+            return points.select("*", F.lit(None).cast(kind).alias(target_id), F.lit(None).cast("double").alias("d")).limit(0)
+    start = fitting_cell(cells_at, float(first or limit))
     best = _nearest(points, limit, start, candidates, scratch)
     return points.join(
         best.select("x", "y", F.col("best.tid").alias(target_id), F.col("best.d").alias("d")), ["x", "y"]

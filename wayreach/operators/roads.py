@@ -247,6 +247,22 @@ def break_crossings(
     )
 
 
+def cut_links(roads: DataFrame, cell_m: float = 100.0, max_rows: int = MAX_ROWS_PER_GROUP) -> DataFrame:
+    """``roads`` cut where they meet, as links again: new ids, geometry, all other attributes.
+
+    ``source_link`` names the link a piece comes from; ids follow (source_link, piece).
+    """
+    pieces = Scratch(roads.sparkSession, "cut-links").keep(break_crossings(roads, cell_m, max_rows), "pieces")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    steps = F.array_sort(F.collect_list(F.struct("seq", point("ax", "ay").alias("a"), point("bx", "by").alias("b"))))
+    lines = pieces.groupBy("link_id", "piece").agg(steps.alias("steps"))
+    geom = F.concat(F.array(F.element_at("steps", 1)["a"]), F.transform("steps", lambda s: s["b"]))
+    lines = lines.select(F.col("link_id").alias("source_link"), "piece", geom.alias("geom"))
+    attributes = roads.withColumnRenamed("link_id", "source_link").drop("geom", "piece")
+    ided = assign_ids(lines.join(attributes, "source_link"), ["source_link", "piece"], "link_id", FIRST_LINK_ID, max_rows)
+    return ided.select(*roads.columns, "source_link")
+
+
 def dedupe_links(roads: DataFrame, classes: DataFrame) -> DataFrame:
     """Of links with the same vertices (either direction) keep the highest priority, then lowest id."""
     prio = F.coalesce("priority", F.lit(0))

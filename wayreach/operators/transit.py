@@ -72,7 +72,7 @@ def with_departures(sources: DataFrame, departures: Sequence[int]) -> DataFrame:
 
 def initial_access(sources: DataFrame, footpaths: DataFrame, limit: int) -> DataFrame:
     """Round 0: walk from each source to the stops around it. ``sources``: (src, dep)."""
-    to_stops = footpaths.filter((F.col("to_kind") == "s") & (F.col("walk_s") <= limit))
+    to_stops = footpaths.filter((F.col("from_kind") == "b") & (F.col("to_kind") == "s") & (F.col("walk_s") <= limit))
     return first_step(
         sources.join(to_stops, F.col("src") == F.col("from_id")).select(
             "src", "dep", F.col("to_id").alias("stop_id"), (F.col("dep") + F.col("walk_s")).alias("t"), "walk_s"
@@ -222,7 +222,8 @@ def ride_round(
 
 
 def _walk_on(rides: DataFrame, footpaths: DataFrame, allowed: Column, horizon: int) -> DataFrame:
-    steps = footpaths.filter(allowed).select(
+    # rides end at stops; a building may bear the same number
+    steps = footpaths.filter((F.col("from_kind") == "s") & allowed).select(
         F.col("from_id").alias("place"), F.col("to_id").alias("__to"), F.col("to_kind").alias("__kind"), F.col("walk_s").alias("__w")
     )
     walked = rides.join(steps, "place").filter(
@@ -263,8 +264,8 @@ def transfer_walk(
     building = F.col("to_kind") == "b"
     allowed = (F.col("walk_s") <= walk2) | (building & (F.col("walk_s") <= walk3))
     walked = _walk_on(rides, footpaths, allowed, horizon)
-    ridden = rides.select("src", "dep", "place")
-    return walked.join(ridden, ["src", "dep", "place"], "left_anti").select(*LABEL)
+    ridden = rides.select("src", "dep", "place", "kind")
+    return walked.join(ridden, ["src", "dep", "place", "kind"], "left_anti").select(*LABEL)
 
 
 def egress_walk(rides: DataFrame, footpaths: DataFrame, walk3: int, horizon: int) -> DataFrame:
@@ -347,7 +348,7 @@ def filter_journeys(journeys: DataFrame, limits: Limits, window: Column | None =
     return kept
 
 
-def best_journey(journeys: DataFrame, keys: Sequence[str] = ("src", "dep", "place")) -> DataFrame:
+def best_journey(journeys: DataFrame, keys: Sequence[str] = ("src", "dep", "place", "kind")) -> DataFrame:
     """Least duration, then fewest transfers, then the round with a ride."""
     rest = [c for c in journeys.columns if c not in (*keys, "duration", "transfers", "k")]
     best = F.min(F.struct("duration", "transfers", (-F.col("k")).alias("nk"), *rest)).alias("b")
@@ -362,7 +363,7 @@ def all_destinations(
 ) -> DataFrame:
     """Best journey per (src, dep, place), for buildings or for all places."""
     reached = labels if include_stops else labels.filter("kind = 'b'")
-    reached = reached.filter(F.col("place") != F.col("src"))
+    reached = reached.filter((F.col("place") != F.col("src")) | (F.col("kind") != "b"))
     return best_journey(filter_journeys(journey_metrics(reached), limits, window))
 
 
@@ -373,12 +374,12 @@ def schedule_starts(start: int, gap: int, backward: bool = False) -> list[int]:
 
 
 def schedule_scan(journeys: DataFrame) -> DataFrame:
-    """Over all start times keep the shortest journey per (src, place); the first tried wins ties."""
+    """Over all start times keep the shortest journey per (src, place, kind); the first tried wins ties."""
     # forwards the first start is the smallest dep; mirrored, the latest arrival is too
-    rest = [c for c in journeys.columns if c not in ("src", "place", "duration", "dep")]
+    rest = [c for c in journeys.columns if c not in ("src", "place", "kind", "duration", "dep")]
     best = F.min(F.struct("duration", "dep", *rest)).alias("b")
-    out = journeys.groupBy("src", "place").agg(best)
-    return out.select("src", "place", "b.*")
+    out = journeys.groupBy("src", "place", "kind").agg(best)
+    return out.select("src", "place", "kind", "b.*")
 
 
 def transit_journeys(
@@ -511,12 +512,13 @@ def trip_table(
     limits: Limits,
     backward: bool = False,
 ) -> DataFrame:
-    """The detailed journey table: up to three rides with walks, waits and times as text.
+    """The detailed journey table: all rides with walks, waits and times as text.
 
-    31 columns FROM; TO has one more, the arrival limit. Sources themselves come as a
-    row without legs, as ``Duration`` 0.
+    There are blocks of columns for three rides, or for as many as ``limits`` allow if
+    these are more; with three, 31 columns FROM. TO has one more, the arrival limit.
+    Sources themselves come as a row without legs, as ``Duration`` 0.
     """
-    rounds = 3
+    rounds = max(3, limits.max_transfers + 1)
     df = unroll_journey(journeys, labels, limits.max_transfers + 1)
     for k in range(limits.max_transfers + 2, rounds + 1):
         for c, kind in (("board", "string"), ("board_t", "long"), ("alight", "string"), ("alight_t", "long"), ("trip", "string")):

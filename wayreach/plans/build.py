@@ -6,12 +6,14 @@ is how the computations are meant to be run repeatedly.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.scratch import Scratch
-from ..operators import car, gtfs_clean, roads, timetable, walk
+from ..operators import car, gtfs_clean, roads, timetable, walk, zones
 
 
 def clean_feed(feed: dict[str, DataFrame], date: int | None = None) -> dict[str, DataFrame]:
@@ -60,6 +62,35 @@ def feed_as_text(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return feed | {"stop_times": times}
 
 
+def clean_roads(
+    road_links: DataFrame, classes: DataFrame, errors: DataFrame | None = None, tolerance: float = 0.5
+) -> DataFrame:
+    """Links that meet at common vertices: ends snapped, cut at crossings, repeated and erroneous ones dropped.
+
+    ``errors`` (link_id) names links of the given table. The result has new ids and
+    ``source_link``, the link each piece comes from.
+    """
+    if errors is not None:
+        road_links = roads.drop_errored_links(road_links, errors)
+    scratch = Scratch(road_links.sparkSession, "clean-roads")
+    snapped = scratch.keep(roads.snap_endpoints(road_links, tolerance), "snapped")
+    return roads.dedupe_links(scratch.keep(roads.cut_links(snapped), "cut"), classes)
+
+
+def clean_buildings(raw: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Single buildings with ids and centroids (aid, x, y, ring, attributes) from multi-part polygons."""
+    return Scratch(raw.sparkSession, "buildings").keep(roads.clean_buildings(raw, order))
+
+
+def hexagons(buildings: DataFrame, side: float, fields: Sequence[str] = ()) -> DataFrame:
+    """The hexagons that hold buildings, each with its nearest building and the sums of ``fields``."""
+    scratch = Scratch(buildings.sparkSession, "hexagons")
+    grid = scratch.keep(zones.hex_grid(buildings, side), "grid")
+    nearest = scratch.keep(zones.hex_nearest_building(grid, buildings, side), "nearest")
+    sums = zones.hex_sum(buildings.select("x", "y", *fields), side)
+    return nearest.join(sums.drop("cx", "cy"), ["q", "r"], "left")
+
+
 def transit_database(
     feed: dict[str, DataFrame], road_links: DataFrame, buildings: DataFrame, max_path: float = walk.MAX_PATH_M
 ) -> dict[str, DataFrame]:
