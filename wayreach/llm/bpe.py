@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern that splits text for byte-level BPE
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_PIECES = 800_000
+CACHED_PIECES = 1_200_000  # a few hundred MB in each Python worker
 # A space before white space or the end starts no piece of its own. The four control
 # characters count as white space for `re` only; texts that hold them are one piece.
 _RARE = re.compile(r" \s| \Z|[\x1c-\x1f]")
@@ -35,19 +35,43 @@ CONTROL = re.compile(r"[\x1c-\x1f]")
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
 
-def pieces(text: str) -> list[str]:
-    """Cut ``text`` before each space that a non-space follows; no token spans such a cut."""
+def cut(text: str) -> tuple[list[str], list[str]]:
+    """Pieces of ``text`` that no token spans: whole ones, then ones that lack the space before them.
+
+    Cuts are made before each space that a non-space follows.
+    """
     if not _RARE.search(text):
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-    return [text] if CONTROL.search(text) else _BEFORE_WORD.split(text)
-
-
-def remember(seen: dict[str, bytes], piece: str, ids: bytes) -> bytes:
-    """Keep what a short piece gave until the table is full; frequent pieces come early."""
-    if len(piece) < 64 and len(seen) < CACHED_PIECES:
-        seen[piece] = ids
-    return ids
+        return [first], rest
+    return [text] if CONTROL.search(text) else _BEFORE_WORD.split(text), []
+
+
+class Seen:
+    """Ids of short pieces met so far, until the tables are full; frequent pieces come early."""
+
+    def __init__(self, limit: int = CACHED_PIECES) -> None:
+        self.limit = limit
+        self.whole: dict[str, bytes] = {"": b""}
+        self.after_space: dict[str, bytes] = {}
+
+    def find(self, text: str) -> tuple[list[bytes | None], list[tuple[int, str]]]:
+        """Ids of the pieces of ``text``, and (place, piece) of those not met before."""
+        whole, rest = cut(text)
+        found = [*map(self.get, whole), *map(self.after_space.get, rest)]
+        if None not in found:
+            return found, []
+        n = len(whole)
+        return found, [(k, whole[k] if k < n else " " + rest[k - n]) for k, ids in enumerate(found) if ids is None]
+
+    def get(self, piece: str) -> bytes | None:
+        return self.after_space.get(piece[1:]) if piece[:1] == " " else self.whole.get(piece)
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) < 64 and len(self.whole) + len(self.after_space) < self.limit:
+            if piece[:1] == " ":
+                self.after_space[piece[1:]] = ids
+            else:
+                self.whole[piece] = ids
 
 
 def byte_letters() -> list[str]:
@@ -83,12 +107,12 @@ class Vocabulary:
         self.length = {i: len(token) for token, i in ids.items()}
         self.automaton = ahocorasick.Automaton()
         for token, i in ids.items():
-            self.automaton.add_word(token, (len(token), i))
+            self.automaton.add_word(token, i)
         self.automaton.make_automaton()
         # the next shorter token that a token begins with, or -1
         self.shorter = {i: next((ids[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ids), -1) for token, i in ids.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.seen: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.seen = Seen()
         # decoding: all tokens' bytes one after the other, and where each begins
         texts = [b""] * (max([*ids.values(), *added.values()], default=-1) + 1)
         for token, i in ids.items():
@@ -105,7 +129,7 @@ class Vocabulary:
         over the border that ranks before that moment would have happened. Of merges of
         equal rank the left one comes first.
         """
-        pair = (left, right)
+        pair = left << 24 | right
         known = self.fits.get(pair)
         if known is not None:
             return known
@@ -129,49 +153,58 @@ class Vocabulary:
 
     def merge_exactly(self, word: str) -> list[int]:
         """Token ids of one split word, given in byte letters."""
-        n = len(word)
-        longest, size = [-1] * n, [0] * n
-        for end, (length, i) in self.automaton.iter(word):
-            at = end - length + 1
-            if length > size[at]:
-                longest[at], size[at] = i, length
-        if n and size[0] == n:
-            return [longest[0]]
-        open_ = [True] * (n + 1)  # places from which the rest may still be reached
-        chosen: list[int] = []
-        at, token = 0, longest[0] if n else -1
-        while at < n:
-            end = at + self.length[token]
-            if open_[end] and (not chosen or self.may_follow(chosen[-1], token)):
-                chosen.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
-            token = self.shorter[token]
+        # the longest token at each place, from there on; mostly each may follow the one before
+        longest = list(self.automaton.iter_long(word))
+        chosen = [i for _, i in longest]
+        fits = self.fits
+        for k in range(1, len(chosen)):
+            known = fits.get(chosen[k - 1] << 24 | chosen[k])
+            if not (self.may_follow(chosen[k - 1], chosen[k]) if known is None else known):
+                return self.backtrack(word, chosen[:k], longest[k - 1][0] + 1, chosen[k])
+        return chosen
+
+    def backtrack(self, word: str, chosen: list[int], at: int, token: int) -> list[int]:
+        """Go on at place ``at`` with ``token``, taking shorter tokens or going back where pairs do not fit."""
+        n, length, shorter, fits = len(word), self.length, self.shorter, self.fits
+        closed: set[int] = set()  # places from which the end cannot be reached
+        while True:
+            end = at + length[token]
+            if end not in closed:
+                known = fits.get(chosen[-1] << 24 | token) if chosen else True
+                if self.may_follow(chosen[-1], token) if known is None else known:
+                    chosen.append(token)
+                    if end == n:
+                        return chosen
+                    at = end
+                    token = next(self.automaton.iter_long(word, at))[1]
+                    continue
+            token = shorter[token]
             while token < 0:
-                open_[at] = False
+                closed.add(at)
                 last = chosen.pop()
-                at -= self.length[last]
-                token = self.shorter[last]
-        return chosen
+                at -= length[last]
+                token = shorter[last]
 
     def piece_ids(self, piece: str) -> bytes:
         """Ids of one piece as packed 32-bit integers."""
-        ids: list[int] = []
+        out: list[bytes] = []
         for part in self.added_pattern.split(piece) if any(a in piece for a in self.added) else [piece]:
             if part in self.added:
-                ids.append(self.added[part])
-            else:
-                for word in SPLIT.findall(part):
-                    ids += self.merge_exactly(word.encode("utf-8").decode("latin-1").translate(self.letters))
-        return array("i", ids).tobytes()
+                out.append(array("i", [self.added[part]]).tobytes())
+                continue
+            for word in SPLIT.findall(part):
+                ids = self.seen.get(word)
+                if ids is None:
+                    ids = array("i", self.merge_exactly(word.encode("utf-8").decode("latin-1").translate(self.letters))).tobytes()
+                    self.seen.keep(word, ids)
+                out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        row = pieces(text)
-        found = [self.seen.get(piece) for piece in row]
-        for k, ids in enumerate(found):
-            if ids is None:
-                found[k] = remember(self.seen, row[k], self.piece_ids(row[k]))
+        found, missing = self.seen.find(text)
+        for k, piece in missing:
+            found[k] = self.piece_ids(piece)
+            self.seen.keep(piece, found[k])
         return b"".join(found)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -1,7 +1,7 @@
 """Token ids as Parquet list columns that can be read selectively.
 
 ``write`` encodes documents and stores one row per document, in ascending order of id:
-``shard`` (number of the file), ``doc_id``, ``n_tokens``, ``ids``. Row groups and pages have
+``shard`` (number of the file), ``doc_id``, ``start_in_shard``, ``n_tokens``, ``ids``. Row groups and pages have
 set sizes, ids are dictionary or delta encoded, and Parquet's page indexes let a reader
 skip pages by id and leave out ``ids`` altogether. ``read`` adds ``start``, the number of
 ids of all documents before.
@@ -14,18 +14,22 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayreach.llm.bpe import CONTROL, id_lists, pieces, remember
+from wayreach.llm.bpe import CONTROL, Seen, id_lists
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DOCUMENTS_PER_FILE = 50_000
+ROWS_AT_ONCE = 500
+CACHED_PIECES = 500_000
 
 
 @lru_cache(2)
@@ -38,16 +42,14 @@ def _library(path: str):
     sizes = np.zeros(max([*library.get_vocab().values()], default=-1) + 1, np.int64)
     for token, i in library.get_vocab().items():
         sizes[i] = len(added[i].encode()) if i in added else len(token)
-    return library, sizes, {}
+    return library, sizes, Seen(CACHED_PIECES)
 
 
 def library_ids(texts: list[str | None], tokenizer: str, end_id: int | None) -> list[bytes]:
     """Ids of each text by the tokenizers library, packed; a piece that comes again is not encoded again."""
     library, sizes, seen = _library(tokenizer)
-    cut = [pieces(x) if x else [] for x in texts]
-    found = [[seen.get(p) for p in row] for row in cut]
-    missing = [(k, i) for k, row in enumerate(found) if None in row for i, ids in enumerate(row) if ids is None]
-    new: dict[str, bytes] = dict.fromkeys(cut[k][i] for k, i in missing)
+    rows = [seen.find(x or "") for x in texts]
+    new: dict[str, bytes | None] = {piece: None for _, missing in rows for _, piece in missing}
     # pieces that begin with a space do not touch their neighbours and go as one text;
     # the bytes of the tokens tell where each piece ends
     joined = [p for p in new if p[:1] == " " and p[1:2].strip() and not CONTROL.search(p)]
@@ -62,22 +64,13 @@ def library_ids(texts: list[str | None], tokenizer: str, end_id: int | None) ->
     for piece, ids in new.items():
         if ids is None:
             new[piece] = np.array(library.encode(piece, add_special_tokens=False).ids, np.int32).tobytes()
-        remember(seen, piece, new[piece])
-    for k, i in missing:
-        found[k][i] = new[cut[k][i]]
+        seen.keep(piece, new[piece])
     end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
-    return [b"".join(row) + end for row in found]
-
-
-def encode(text: Column, tokenizer: str, end_id: int | None = 0) -> Column:
-    @F.arrow_udf("array<int>")
-    def ids(column: pa.Array) -> pa.Array:
-        out: list[bytes] = []
-        for k in range(0, len(column), 500):
-            out += library_ids(column.slice(k, 500).to_pylist(), tokenizer, end_id)
-        return id_lists(out)
-
-    return ids(text)
+    for found, missing in rows:
+        for k, piece in missing:
+            found[k] = new[piece]
+        found.append(end)
+    return [b"".join(found) for found, _ in rows]
 
 
 def checksum(ids: Column) -> Column:
@@ -100,8 +93,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, en
     files = max(files, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id", F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions("doc_id", "text")
-    table = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", encode(F.col("text"), tokenizer, end_id).alias("ids"))
-    table = table.select("shard", "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                ids = id_lists(library_ids(part.column("text").to_pylist(), tokenizer, end_id))
+                sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+                starts = before + np.cumsum(sizes) - sizes
+                before += int(sizes.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), part.column("doc_id"), pa.array(starts), pa.array(sizes), ids], names=names)
+
+    names = ["shard", "doc_id", "start_in_shard", "n_tokens", "ids"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = ordered.mapInArrow(encoded, f"shard int, doc_id {kind}, start_in_shard long, n_tokens long, ids array<int>")
     (
         table.write.option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
@@ -116,15 +122,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, en
 def read(spark: SparkSession, path: str) -> DataFrame:
     """shard, doc_id, n_tokens, ids, and start.
 
-    Only the narrow columns are read for the starts: totals per file, added up over the
-    files (a few numbers for each file), then a running sum inside each file.
+    The starts need the total of each file only, which is read from the narrow columns and
+    added up over the files (one number for each).
     """
     table = spark.read.parquet(path)
     totals = table.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, -1)
-    # rows of a file keep their order in it
-    numbered = table.withColumn("place", F.monotonically_increasing_id())
-    running = numbered.withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return running.join(totals, "shard").withColumn("start", F.col("start") + F.col("first")).drop("first", "place")
+    return table.join(totals, "shard").withColumn("start", F.col("start_in_shard") + F.col("first")).drop("first", "start_in_shard")
