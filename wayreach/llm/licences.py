@@ -6,7 +6,7 @@ that have several. ``scan`` looks up the SHA-256 of each whole text, and of each
 lines taken as a text, among the digests of known licences (equality joins).
 
 Null text counts as empty; an empty canonical form matches nothing. Licences whose
-canonical forms are equal are all reported. Repeated rows each get their own result.
+canonical forms are equal are all reported. Repeated rows each get a result.
 Only built-in functions are used.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayreach.functions.scratch import Scratch
 from wayreach.llm.licence_texts import TEXTS
 
 # Spellings that count as equal
@@ -85,17 +86,23 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, digest, license_ids of the whole text, and of its lines."""
-    row = F.monotonically_increasing_id()
-    lines = docs.select(row.alias("row"), "doc_id", canonical_lines(F.col("text")).alias("lines"))
-    digests = F.array_distinct(F.transform("lines", digest))
-    whole = lines.select("row", "doc_id", digest(F.array_join("lines", " ")).alias("digest"), digests.alias("parts"))
-    units = whole.select("row", "doc_id", F.explode(F.array_union("parts", F.array("digest"))).alias("unit"), "digest", F.col("parts").alias("parts"))
-    found = units.join(licences.withColumnRenamed("digest", "unit"), "unit", "left")
+    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    binary = lambda x: F.unhex(digest(x))
+    digests = lines.select("doc_id", binary(F.array_join("lines", " ")).alias("digest"), F.array_distinct(F.transform("lines", binary)).alias("parts"))
+    kept = Scratch(docs.sparkSession, "licences").keep(digests, "digests")
+    known_as = licences.select("license_id", F.unhex("digest").alias("unit"))
+    whole = kept.select("doc_id", "digest", F.col("digest").alias("unit"), F.lit(True).alias("entire"))
+    part = kept.select("doc_id", "digest", F.explode("parts").alias("unit"), F.lit(False).alias("entire"))
+    found = whole.unionByName(part).join(known_as, "unit")
     # sorted sets of at most as many ids as there are licences
-    return found.groupBy("row", "doc_id", "digest").agg(
-        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("unit") == F.col("digest"), F.col("license_id"))))).alias("license_ids"),
-        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.array_contains("parts", F.col("unit")), F.col("license_id"))))).alias("line_license_ids"),
-    ).drop("row")
+    sets = found.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(
+        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("entire"), F.col("license_id"))))).alias("license_ids"),
+        F.concat_ws(",", F.sort_array(F.collect_set(F.when(~F.col("entire"), F.col("license_id"))))).alias("line_license_ids"),
+    )
+    rows = kept.select("doc_id", "digest").join(sets, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
+    return rows.select(
+        "doc_id", F.lower(F.hex("digest")).alias("digest"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("license_ids", "line_license_ids")]
+    )
 
 
 def sql() -> str:
