@@ -40,6 +40,7 @@ FIRST_ROUNDS, FIRST_WORDS = 3, 60_000
 ROUNDS = 1
 FREQUENT = 200_000
 FREQUENT_BYTES = 64  # longer words are always joined
+TOGETHER = 200_000  # words or rows that a task holds before it hands them on
 SPACE = "▁"
 ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string, n long"
 
@@ -131,15 +132,21 @@ def load_pieces(path: str) -> Spelling:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) of all words of ``docs`` (text, held_out), c from the rows that are not held out."""
 
+    def rows(learned: Counter[bytes], others: set[bytes]) -> pa.RecordBatch:
+        others.difference_update(learned)
+        words = pa.array([*learned, *others], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array([*learned.values(), *[0] * len(others)], pa.int64())], names=["word", "c"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned: Counter[bytes] = Counter()
+        others: set[bytes] = set()
         for batch in batches:
-            learned: Counter[bytes] = Counter()
-            others: set[bytes] = set()
             for text, held in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
                 (others if held else learned).update(tokens(text.as_py()))
-            others.difference_update(learned)
-            words = pa.array([*learned, *others], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([words, pa.array([*learned.values(), *[0] * len(others)], pa.int64())], names=["word", "c"])
+                if len(learned) + len(others) > TOGETHER:
+                    yield rows(learned, others)
+                    learned, others = Counter(), set()
+        yield rows(learned, others)
 
     return docs.select("text", "held_out").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -204,6 +211,15 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, rounds: int = ROUN
         {w.encode(): (s, base_of(c)) for w, c, s in zip(top["word"].to_pylist(), top["c"].to_pylist(), top["score"].to_pylist(), strict=True)}
     )
 
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n"]
+
+    def nulls(n: int, *kinds: pa.DataType) -> list[pa.Array]:
+        return [pa.nulls(n, kind) for kind in kinds]
+
+    def rare_rows(rows: list[int], words: list[bytes], numbers: list[int]) -> pa.RecordBatch:
+        empty = nulls(len(rows), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *empty, pa.array(words, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], names=names)
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         known_end, base_end = int(learned > 0), base_of(learned)
@@ -223,15 +239,13 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, rounds: int = ROUN
                         known, own, base = known + n, own + n * entry[0], base + n * entry[1]
                 for column, value in zip(whole, (len(words) + 1, known, base, own), strict=True):
                     column.append(value)
-            n, m = batch.num_rows, len(rare_row)
-            null = lambda t, k: pa.nulls(k, t)
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n"]
+                if len(rare_row) > TOGETHER:
+                    yield rare_rows(rare_row, rare_word, rare_n)
+                    rare_row, rare_word, rare_n = [], [], []
+            yield rare_rows(rare_row, rare_word, rare_n)
             numbers = [pa.array(x, t) for x, t in zip(whole, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *numbers, null(pa.string(), n), null(pa.int64(), n)], names=names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rare_row, pa.int64()), null(pa.int64(), m), null(pa.bool_(), m), null(pa.int64(), m), null(pa.int64(), m), null(pa.float64(), m), null(pa.float64(), m),
-                 pa.array(rare_word, pa.binary()).cast(pa.string()), pa.array(rare_n, pa.int64())], names=names,
-            )
+            own_columns = [batch.column(c) for c in ("row", "doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*own_columns, *numbers, *nulls(batch.num_rows, pa.string(), pa.int64())], names=names)
 
     looked = scratch.keep(rows.mapInArrow(look_up, ROWS), "texts")
     rare = looked.where("word is not null").select("row", "word", "n").join(lexicon, "word")
