@@ -22,14 +22,14 @@ MOST_BITS_A_BYTE = 8.0
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, or that no language model explains."""
     model = language.train(docs.select("doc_id", "text", "lang"))
-    named = language.predict(docs, model)
-    kept = named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_a_byte") <= MOST_BITS_A_BYTE))
+    named = language.predict(docs, model, prefix="__")
+    kept = named.where((F.col("__lang_pred") != language.UNKNOWN) & (F.col("__bits_a_byte") <= MOST_BITS_A_BYTE))
     return kept.select(docs.columns)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that many documents of a source carry."""
-    return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return line_dedup.dedup(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

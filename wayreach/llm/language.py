@@ -14,7 +14,7 @@ at most ``MAX_LEARNED_BYTES`` bytes, chosen by the hash of their id over all row
 
 Null text, or a text without a letter: ``und`` with score 0. An empty table of labelled
 texts gives a model that answers ``und``. Other columns pass through; ``lang_pred``,
-``score``, ``bits_a_byte`` replace columns of those names.
+``score``, ``bits_a_byte`` (with a prefix, if given) replace columns of those names.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(grams.groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")).toArrow())
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` with lang_pred, score (share of the best language), bits_a_byte (of the best tree)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
@@ -198,8 +198,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return named.withColumns(
         {
-            "lang_pred": F.when(letters, F.col("__best.lang")).otherwise(UNKNOWN),
-            "score": F.when(letters, F.col("__best.score")).otherwise(0.0),
-            "bits_a_byte": F.col("__best.bits"),
+            f"{prefix}lang_pred": F.when(letters, F.col("__best.lang")).otherwise(UNKNOWN),
+            f"{prefix}score": F.when(letters, F.col("__best.score")).otherwise(0.0),
+            f"{prefix}bits_a_byte": F.col("__best.bits"),
         }
     ).drop("__best")

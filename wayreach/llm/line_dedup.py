@@ -41,8 +41,10 @@ def boilerplate(pages: DataFrame, text: str = "text", host: str = "source", rati
     return frequent.where(F.col("n") > ratio * F.col("pages")).groupBy(HOST).agg(F.collect_list("key").alias(BAD))
 
 
-def dedup(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` without their boilerplate lines, with ``n_lines`` and ``n_dropped``."""
+def dedup(
+    pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True
+) -> DataFrame:
+    """``pages`` without their boilerplate lines; with ``counts`` also ``n_lines`` and ``n_dropped``."""
     lists = Scratch(pages.sparkSession, "line-dedup").keep(boilerplate(pages, text, host, ratio, min_pages))
     salted = lists.withColumn(SALT, F.explode(F.array([F.lit(k) for k in range(SALTS)])))
     rows = pages.withColumns(
@@ -53,9 +55,10 @@ def dedup(pages: DataFrame, text: str = "text", host: str = "source", ratio: flo
         F.col(BAD).isNull(), lines
     ).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(BAD, line_key(x))))
     rows = rows.withColumn(LINES, kept)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    rows = rows.withColumn("n_lines", n_lines)
-    rows = rows.withColumn("n_dropped", F.col("n_lines") - F.when(F.col(text).isNull(), 0).otherwise(F.size(LINES)))
+    if counts:
+        n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+        n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size(LINES))
+        rows = rows.withColumns({"n_lines": n_lines, "n_dropped": n_lines - n_kept})
     return rows.withColumn(text, F.array_join(LINES, "\n")).drop(HOST, SALT, BAD, LINES)
 
 
