@@ -102,15 +102,17 @@ def available_boardings(
     departure per (source, stop, route) is kept, within ``max_delta`` after the walk.
     """
     t, walk = F.col("t"), F.col("walk_s")
-    if first_per_route:
-        open_window = departures.filter(t >= start)
-        caught = (t >= start + walk) & (t <= start + max_delta + walk)
-    else:
-        open_window = departures.filter((t >= start + min_delta) & (t <= start + max_delta))
-        caught = t >= start + walk
-    found = access.join(open_window, "stop_id").filter(caught)
     if not first_per_route:
+        open_window = departures.filter((t >= start + min_delta) & (t <= start + max_delta))
+        found = access.join(open_window, "stop_id").filter(t >= start + walk)
         return found.select("source", "stop_id", "route_id", "trip_id", "t", "walk_s")
+    # each window touches at most two buckets as wide as the window
+    width = max_delta + 1
+    arrives = start + walk
+    buckets = F.sequence(F.floor(arrives / width), F.floor((arrives + max_delta) / width))
+    asked = access.withColumn("__bucket", F.explode(buckets))
+    offered = departures.filter(t >= start).withColumn("__bucket", F.floor(t / width))
+    found = asked.join(offered, ["stop_id", "__bucket"]).filter((t >= arrives) & (t <= arrives + max_delta))
     return (
         found.groupBy("source", "stop_id", "route_id")
         .agg(F.min(F.struct("t", "trip_id", "walk_s")).alias("b"))
