@@ -5,8 +5,10 @@ import hashlib
 import random
 from pathlib import Path
 
+import duckdb
 import pytest
 
+from wayreach.functions.scratch import Scratch
 from wayreach.llm import queries, warc
 
 SCHEMA = "page_id long, url string, html string, digest string, salt int"
@@ -35,11 +37,20 @@ def expected(rows):
 
 def test_query_on_odd_pages(spark, tmp_path):
     spark.createDataFrame([(*r, "d", 3) for r in ROWS], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
-    rows = queries.op3_warc_index(spark, str(tmp_path)).collect()
-    assert sorted((tuple(r)[:5] for r in rows), key=str) == expected(ROWS)
-    keys = [r["url_key"] for r in rows]
-    assert keys == sorted(keys)  # over all partitions
-    assert {"example,a)/y?z=1", "example,b)/x"} <= set(keys)
+    rows = [tuple(r) for r in queries.op3_warc_index(spark, str(tmp_path)).collect()]
+    assert sorted(rows, key=str) == expected(ROWS)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(con.execute(warc.sql()).fetchall(), key=str) == expected(ROWS)
+
+
+def test_index_is_ordered_over_all_partitions(spark, tmp_path):
+    warc.write(spark.createDataFrame([(*r, "d", 3) for r in ROWS * 5], SCHEMA), f"{tmp_path}/w")
+    records = Scratch(spark, "t").keep(warc.read(spark, f"{tmp_path}/w"))
+    rows = warc.merge_index(records).collect()
+    keys = [(r["url_key"], r["date"], -1 if r["page_id"] is None else r["page_id"]) for r in rows]
+    assert keys == sorted(keys) and len(keys) == 5 * len(ROWS)
+    assert {"example,a)/y?z=1", "example,b)/x"} <= {k[0] for k in keys}
 
 
 def test_empty(spark, tmp_path):

@@ -79,13 +79,13 @@ def op2_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", "held_out", "lang_pred", "score", "bits_a_byte")
 
 
-@query()
+@query(warc.sql())
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     path = scratch.path("archives")
     warc.write(table(spark, sf_dir, "pages"), path)
     index = warc.merge_index(scratch.keep(warc.read(spark, path), "runs"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "file", "offset")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query()

@@ -221,3 +221,15 @@ def merge_index(records: DataFrame) -> DataFrame:
             yield from batches_of((row for _, _, row in merged(list(runs.values()))), schema)
 
     return dealt.mapInArrow(merge, records.schema)
+
+
+def sql() -> str:
+    """What the records of ``pages`` say, in DuckDB."""
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes FROM pages),
+f AS (SELECT *, CASE WHEN bytes >= {MIN_REVISIT} THEN max(page_id) OVER (PARTITION BY payload) END AS first FROM p)
+SELECT page_id, bytes AS payload_bytes, sha1(payload) AS payload_digest,
+    CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
