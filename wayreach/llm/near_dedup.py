@@ -13,11 +13,14 @@ links connect.
 
 1. Texts of equal shingles are one class (its least id stands for it).
 2. In each bucket of a band, all classes are compared with its least and its greatest.
-3. Buckets that still hold more than one group are searched in blocks: every class outside
-   the bucket's largest group is compared with all others by signature, and pairs whose
-   signatures promise ``THRESHOLD`` by ``SLACK`` standard deviations are computed as well.
-   So no pair of a bucket that could join two groups goes unseen, and a large group of
-   copies costs one comparison a member, not one a pair.
+3. In buckets that still hold more than one group, all classes are compared with the one
+   that is nearest to the most frequent signature, such as the text that copies stem from.
+4. Buckets that are still apart are searched in blocks: every class outside the bucket's
+   largest group is compared with all others by signature; where the signatures promise
+   ``THRESHOLD`` by ``SLACK`` standard deviations, the shingles decide.
+
+So no pair of a bucket that could join two groups goes unseen, and a large group of copies
+costs some comparisons a member, not one a pair.
 
 Null text or a text without words: a group of its own. Texts of fewer than SHINGLE words:
 their words are one shingle. A null id: null group, never linked. Repeated rows: each is
@@ -189,30 +192,71 @@ def _shingle_sets(weighted: bool):
     return run
 
 
-def _alike(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of one pair of blocks, of different groups, whose signatures promise the threshold."""
-    k = BANDS * ROWS
-    least = k * THRESHOLD - SLACK * math.sqrt(k * THRESHOLD * (1 - THRESHOLD))
+def _signatures(table: pa.Table) -> np.ndarray:
+    return table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS * ROWS)
+
+
+def _agreement(signature: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row has the most frequent value of all rows."""
+    total = np.zeros(len(signature), np.int32)
+    for column in signature.T:
+        values, of, n = np.unique(column, return_inverse=True, return_counts=True)
+        total += of == n.argmax()
+    return total
+
+
+def _central(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row of a block that is nearest to what most of its rows have in common."""
+    table = pa.Table.from_batches(blocks).combine_chunks()
+    if len(table):
+        ids, total = table["id"].to_numpy(), _agreement(_signatures(table))
+        best = np.lexsort((ids, -total))[0]
+        yield pa.RecordBatch.from_arrays([table["key"][:1].combine_chunks(), pa.array([ids[best]]), pa.array([int(total[best])], pa.int32())], names=["key", "hub", "total"])
+
+
+def _linked(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join groups, of one pair of blocks.
+
+    Rows whose signatures promise the threshold are compared by their shingles, unless
+    links found before have joined their groups. Central rows come first, so that a group
+    of copies is soon one.
+    """
     table = pa.Table.from_batches(blocks).combine_chunks()
     if not len(table):
         return
-    ids, group, left, right = (table[c].to_numpy() for c in ("id", "group", "in_left", "in_right"))
-    sig = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, k)
-    rows, others = np.flatnonzero(left), np.flatnonzero(right)
-    for row in rows:
-        hit = others[((sig[others] == sig[row]).sum(1) >= least) & (group[others] != group[row])]
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[row])), pa.array(np.maximum(ids[hit], ids[row]))], names=["a", "b"])
+    k = BANDS * ROWS
+    least = k * THRESHOLD - SLACK * math.sqrt(k * THRESHOLD * (1 - THRESHOLD))
+    ids, left, right = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "in_left", "in_right"))
+    group = np.unique(table["group"].to_numpy(), return_inverse=True)[1]
+    signature, shingle_sets = _signatures(table), table["shingles"].combine_chunks()
+    bounds, values = shingle_sets.offsets.to_numpy(), shingle_sets.values.to_numpy()
+    others = np.flatnonzero(right)
+    rows = np.flatnonzero(left)
+    found = []
+    for row in rows[np.argsort(-_agreement(signature)[rows], kind="stable")]:
+        alike = (signature[others] == signature[row]).sum(1)
+        own = values[bounds[row] : bounds[row + 1]]
+        for other in others[alike >= least]:
+            if group[other] != group[row]:
+                set_ = values[bounds[other] : bounds[other + 1]]
+                common = len(np.intersect1d(own, set_, assume_unique=True))
+                if common >= THRESHOLD * (len(own) + len(set_) - common):
+                    found.append(sorted((int(ids[row]), int(ids[other]))))
+                    group[group == group[other]] = group[row]
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) whose shingles are alike enough. ``b`` may be a hub: its pairs are dealt over several tasks."""
     fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("fan"))
-    hubs = fans.join(sets.withColumnRenamed("doc_id", "b"), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
+    hubs = fans.hint("merge").join(sets.withColumnRenamed("doc_id", "b"), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
     asked = pairs.join(fans, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("fan").cast("long")).cast("int")).drop("fan")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s"))
     right = hubs.select("b", "part", F.col("shingles").alias("t"))
-    both = asked.join(left, "a").join(right, ["b", "part"])
+    # sorted merges at every size: none of the sides is bounded, and plans should not change with it
+    both = asked.hint("merge").join(left, "a").hint("merge").join(right, ["b", "part"])
     common = F.size(F.array_intersect("s", "t"))
     return both.where(common >= THRESHOLD * (F.size("s") + F.size("t") - common)).select("a", "b").distinct()
 
@@ -255,22 +299,32 @@ def groups(docs: DataFrame, weighted: bool = False) -> DataFrame:
     # 2: buckets of several classes, and their least and greatest class
     members = scratch.keep(stands.select(F.explode("bands").alias("key"), "id"), "members")
     buckets = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    members = scratch.keep(members.join(buckets, "key"), "bucket-members")
+    members = scratch.keep(members.join(buckets.hint("merge"), "key"), "bucket-members")
     low = members.where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
     high = members.where("id <> hi and id <> lo").select(F.col("id").alias("a"), F.col("hi").alias("b"))
     pairs = scratch.keep(low.unionByName(high).distinct(), "pairs")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingle_sets(weighted), "doc_id long, shingles array<long>")
+    sets = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_shingle_sets(weighted), "doc_id long, shingles array<long>")
     sets = scratch.keep(sets, "shingles")
     links = scratch.keep(_verified(pairs, sets), "links")
     found = components(links, scratch)
-    # 3: buckets that may still join groups
+    signatures_of = stands.select("id", "signature")
+    # 3: in buckets that may still join groups, all classes meet the most central one
     rows = scratch.keep(_unresolved(members.select("key", "id"), found), "unresolved")
     if not rows.isEmpty():
-        signed = _blocks(rows).join(stands.select("id", "signature"), "id")
-        more = signed.groupBy("key", "i", "j").applyInArrow(_alike, "a long, b long").distinct()
-        more = scratch.keep(_verified(scratch.keep(more, "more-pairs"), sets), "more-links")
-        found = components(links.unionByName(more), scratch)
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK)).cast("int").alias("i")
+        signed = rows.select("key", "id", block).join(signatures_of, "id")
+        central = signed.groupBy("key", "i").applyInArrow(_central, "key long, hub long, total int")
+        hubs = central.groupBy("key").agg(F.max_by("hub", F.struct("total", -F.col("hub"))).alias("b"))
+        more = rows.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        links = links.unionByName(scratch.keep(_verified(scratch.keep(more, "central-pairs"), sets), "central-links"))
+        found = components(links, scratch)
+        # 4: what is still apart is compared in blocks
+        rows = scratch.keep(_unresolved(members.select("key", "id"), found), "apart")
+    if not rows.isEmpty():
+        parts = _blocks(rows).join(signatures_of, "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+        more = parts.groupBy("key", "i", "j").applyInArrow(_linked, "a long, b long").distinct()
+        found = components(links.unionByName(scratch.keep(more, "last-links")), scratch)
     # classes of several rows may be large: their rows are salted; all others stand for themselves
     named = classes.join(found, "id", "left").select(*same, F.coalesce("group", "id").alias("class_id"), "id", "rows")
     named = named.where("rows > 1 or class_id <> id").drop("id", "rows")
