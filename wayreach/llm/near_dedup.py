@@ -214,6 +214,37 @@ def _central(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table["key"][:1].combine_chunks(), pa.array([ids[best]]), pa.array([int(total[best])], pa.int32())], names=["key", "hub", "total"])
 
 
+def _promising(signature: np.ndarray, row: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose signatures promise the threshold with that of ``row``."""
+    k = BANDS * ROWS
+    least = k * THRESHOLD - SLACK * math.sqrt(k * THRESHOLD * (1 - THRESHOLD))
+    return others[(signature[others] == signature[row]).sum(1) >= least]
+
+
+def _close(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a pair of blocks that have a promising partner in another group."""
+    table = pa.Table.from_batches(blocks).combine_chunks()
+    if not len(table):
+        return
+    group, signature = table["group"].to_numpy(), _signatures(table)
+    rows, others = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("in_left", "in_right"))
+    wanted = np.zeros(len(table), bool)
+    for row in rows:
+        partners = _promising(signature, row, others)
+        partners = partners[group[partners] != group[row]]
+        if len(partners):
+            wanted[row] = True
+            wanted[partners] = True
+    yield from table.filter(pa.array(wanted)).select(_CLOSE.names).to_batches()
+
+
+_CLOSE = pa.schema(
+    [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("id", pa.int64()), ("group", pa.int64()), ("in_left", pa.bool_()), ("in_right", pa.bool_()),
+     ("signature", pa.list_(pa.int16()))]
+)
+CLOSE = "key long, i int, j int, id long, group long, in_left boolean, in_right boolean, signature array<short>"
+
+
 def _linked(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that join groups, of one pair of blocks.
 
@@ -224,8 +255,6 @@ def _linked(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(blocks).combine_chunks()
     if not len(table):
         return
-    k = BANDS * ROWS
-    least = k * THRESHOLD - SLACK * math.sqrt(k * THRESHOLD * (1 - THRESHOLD))
     ids, left, right = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "in_left", "in_right"))
     group = np.unique(table["group"].to_numpy(), return_inverse=True)[1]
     signature, shingle_sets = _signatures(table), table["shingles"].combine_chunks()
@@ -234,9 +263,8 @@ def _linked(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = np.flatnonzero(left)
     found = []
     for row in rows[np.argsort(-_agreement(signature)[rows], kind="stable")]:
-        alike = (signature[others] == signature[row]).sum(1)
         own = values[bounds[row] : bounds[row + 1]]
-        for other in others[alike >= least]:
+        for other in _promising(signature, row, others):
             if group[other] != group[row]:
                 set_ = values[bounds[other] : bounds[other + 1]]
                 common = len(np.intersect1d(own, set_, assume_unique=True))
@@ -322,7 +350,9 @@ def groups(docs: DataFrame, weighted: bool = False) -> DataFrame:
         # 4: what is still apart is compared in blocks
         rows = scratch.keep(_unresolved(members.select("key", "id"), found), "apart")
     if not rows.isEmpty():
-        parts = _blocks(rows).join(signatures_of, "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+        signed = _blocks(rows).join(signatures_of, "id")
+        close = scratch.keep(signed.groupBy("key", "i", "j").applyInArrow(_close, CLOSE), "close")
+        parts = close.join(sets.withColumnRenamed("doc_id", "id"), "id")
         more = parts.groupBy("key", "i", "j").applyInArrow(_linked, "a long, b long").distinct()
         found = components(links.unionByName(scratch.keep(more, "last-links")), scratch)
     # classes of several rows may be large: their rows are salted; all others stand for themselves
