@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern that splits text for byte-level BPE
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_PIECES = 1_200_000  # a few hundred MB in each Python worker
+CACHED_PIECES = 700_000  # some hundred MB in each Python worker
 # A space before white space or the end starts no piece of its own. The four control
 # characters count as white space for `re` only; texts that hold them are one piece.
 _RARE = re.compile(r" \s| \Z|[\x1c-\x1f]")

@@ -29,7 +29,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DOCUMENTS_PER_FILE = 50_000
 ROWS_AT_ONCE = 500
-CACHED_PIECES = 700_000
+CACHED_PIECES = 1_200_000
 
 
 @lru_cache(2)
