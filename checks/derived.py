@@ -127,12 +127,8 @@ SELECT from_id, from_kind, to_id, to_kind, dist_m, dist_m AS walk_s FROM (
          CAST(FLOOR(SQRT(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) + 0.5) AS BIGINT)
   FROM {stops} a JOIN {buildings} b ON b.x BETWEEN a.x - 400 AND a.x + 400 AND b.y BETWEEN a.y - 400 AND a.y + 400) z
 WHERE dist_m <= 400""",
-    # one source per stop: the building nearest to it
-    "sources": """
-SELECT DISTINCT src FROM (
-  SELECT to_id AS src, ROW_NUMBER() OVER (PARTITION BY from_id ORDER BY dist_m, to_id) AS rn
-  FROM {footpaths} WHERE from_kind = 's' AND to_kind = 'b') z
-WHERE rn = 1""",
+    # every building is a source
+    "sources": "SELECT CAST(aid AS STRING) AS src FROM {buildings}",
     "near_buildings": """
 SELECT src, place, walk_s FROM (
   SELECT s.src, CAST(b.aid AS STRING) AS place,
@@ -242,11 +238,6 @@ class Inputs:
         both = out.unionAll(back)
         return both.withColumn("walk_s", F.col("dist_m"))
 
-    def make_sources(self) -> DataFrame:
-        near_by = self.footpaths.filter("from_kind = 's' AND to_kind = 'b'")
-        best = near_by.groupBy("from_id").agg(F.min(F.struct("dist_m", "to_id")).alias("b"))
-        return best.select(F.col("b.to_id").alias("src")).distinct()
-
     def make_near_buildings(self) -> DataFrame:
         ids = self.buildings.select(F.col("aid").cast("string").alias("place"), "x", "y")
         own = ids.join(self.sources, F.col("place") == F.col("src")).select("src", "x", "y")

@@ -325,7 +325,7 @@ def _(i):
 OBJECTS_SQL = """
 SELECT stop_id AS obj_id, 's' AS kind, CAST(x + 13 AS DOUBLE) AS x, CAST(y - 21 AS DOUBLE) AS y FROM {stops}
 UNION ALL SELECT CAST(aid AS STRING), 'b', CAST(x AS DOUBLE), CAST(y AS DOUBLE) FROM {buildings}"""
-PATH = 300
+PATH = 400
 
 LINKED_SQL = f"""
 SELECT obj_id, kind, x, y, link_id, seg, qx, qy, ax, ay, bx, by_, d, CAST(FLOOR(d + 0.5) AS BIGINT) AS access_m FROM (
@@ -573,7 +573,8 @@ def _(i):
 
 
 FACTOR = 0.6
-LIMITS = C.CarLimits(max_time=400)
+LIMITS = C.CarLimits(max_time=1200)
+CAR_BINS = ", ".join(f"({k})" for k in range(1, LIMITS.max_time // 100 + 1))
 BOUND = LIMITS.cost_bound(FACTOR)
 # every vertex is a start; the time limit bounds the work
 COSTS_SQL = f"""
@@ -672,11 +673,11 @@ def _(i):
     "c8_car_cumulative",
     CAR_SQL
     + f"""SELECT s.src AS star, n.bin AS bin, n.bin * 100 AS bound_s, 1 + COUNT(o.building) AS nbldg, CAST(MIN(a.jobs) + COALESCE(SUM(h.jobs), 0) AS BIGINT) AS jobs
-FROM (SELECT DISTINCT src FROM best) s JOIN (VALUES (1), (2), (3), (4)) n(bin) ON TRUE JOIN {{buildings}} a ON a.aid = s.src
+FROM (SELECT DISTINCT src FROM best) s JOIN (VALUES {CAR_BINS}) n(bin) ON TRUE JOIN {{buildings}} a ON a.aid = s.src
 LEFT JOIN best o ON o.src = s.src AND o.building <> s.src AND o.dur <= n.bin * 100 LEFT JOIN {{buildings}} h ON h.aid = o.building GROUP BY s.src, n.bin""",
 )
 def _(i):
-    return C.car_cumulative(car_pairs(i), 100, 400, i.buildings, ["jobs"])
+    return C.car_cumulative(car_pairs(i), 100, LIMITS.max_time, i.buildings, ["jobs"])
 
 
 @check("c9_is_walk_trip", CAR_SQL + "SELECT veh AS veh_legs, COUNT(*) AS pairs FROM best GROUP BY veh")

@@ -296,7 +296,7 @@ def _(i):
     return P.transit_to(i.sources, i.stop_events, i.footpaths, i.near_buildings, START, LIMITS)
 
 
-THREE_RIDES = P.Limits(max_transfers=2, wait=300, wait_transfer=300)
+THREE_RIDES = P.Limits(max_transfers=2)
 
 
 @check("p17_transit_three_rides", journeys_sql(THREE_RIDES) + OD_FROM)
