@@ -255,3 +255,16 @@ def decode(ids: Column, tokenizer: str) -> Column:
         return pa.array(out, pa.string())
 
     return text(ids)
+
+
+def round_trip(text: Column, tokenizer: str) -> Column:
+    """(ids, decoded) of a text column in one pass, so that encoding runs once for both."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(column: pa.Array) -> pa.Array:
+        v = vocabulary(tokenizer)
+        packed = [v.encode(x.as_py()) if x.is_valid else None for x in column]
+        decoded = [None if ids is None else v.decode(np.frombuffer(ids, np.int32)).decode("utf-8", "replace") for ids in packed]
+        return pa.StructArray.from_arrays([id_lists(packed), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return both(text)

@@ -36,8 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = docs.select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    decoded = docs.select("doc_id", bpe.round_trip(F.col("text"), path).alias("b")).select("doc_id", "b.ids", "b.decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
