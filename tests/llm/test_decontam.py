@@ -84,3 +84,41 @@ def test_alignment():
     parts = [rng.integers(0, 6, n).astype(np.uint64) for n in (30, 1, 7, 40)]
     score, _ = decontam.aligned(queries, parts)
     assert score.tolist() == [brute_score(a.tolist(), b.tolist()) for a, b in zip(queries, parts, strict=True)]
+
+
+def test_regular_edits_down_to_the_threshold(spark):
+    """Copies whose unchanged runs are two to four words, in documents of their own words."""
+    rng = random.Random(10)
+    pool = [f"w{k}" for k in range(60)]
+    items = [(k, [rng.choice(pool) for _ in range(rng.randrange(12, 60))]) for k in range(12)]
+    edits = {
+        "put in after 4": lambda k, w: [w, f"new{k}"] if k % 4 == 3 else [w],
+        "put in after 3": lambda k, w: [w, f"new{k}"] if k % 3 == 2 else [w],
+        "put in after 2": lambda k, w: [w, f"new{k}"] if k % 2 == 1 else [w],
+        "replace each 5th": lambda k, w: [f"new{k}"] if k % 5 == 4 else [w],
+        "replace each 4th": lambda k, w: [f"new{k}"] if k % 4 == 3 else [w],
+        "leave out each 4th": lambda k, w: [] if k % 4 == 3 else [w],
+        "leave out each 5th": lambda k, w: [] if k % 5 == 4 else [w],
+    }
+    docs, runs = [], set()
+    for name, edit in edits.items():
+        for i, item in items:
+            copy = [x for k, w in enumerate(item) for x in edit(k, w)]
+            body = [rng.choice(pool) if rng.random() < 0.5 else f"own{rng.randrange(500)}" for _ in range(80)]
+            docs.append((len(docs), " ".join([*body[:40], *copy, *body[40:]])))
+            runs.add((name, len(docs) - 1, i))
+    expected = {}
+    for d, text in docs:
+        for i, item in items:
+            score = brute_score(item, words(text)) / len(item)
+            if score >= decontam.THRESHOLD:
+                expected[d, i] = round(score, 9)
+    assert {name for name, d, i in runs if (d, i) in expected} == edits.keys()
+    assert found(spark, docs, [(k, " ".join(x)) for k, x in items]) == expected
+
+
+def test_long_parts_in_pieces(spark):
+    item = " ".join(f"a{k % 3}" for k in range(12))
+    text = " ".join(f"a{k % 3}" if k % 4 else "b" for k in range(3000)) + " " + item
+    score = brute_score(words(item), words(text)) / 12
+    assert found(spark, [(1, text)], [(2, item)]) == {(1, 2): score}

@@ -1,17 +1,21 @@
 """Documents that hold passages of benchmark items, also edited ones.
 
-Runs of ``GRAM`` words seed the search. How many documents hold each run of the benchmark
-is counted over all documents; of every ``WINDOW`` neighbouring runs of an item the rarest
-becomes a seed, so any GRAM + WINDOW - 1 words taken over unchanged contain one. Where a
-document holds a seed, the item's words are aligned with that part of the document by
-Smith-Waterman (a match +1, a change or a gap -1); the best local score, divided by the
-number of the item's words, is the similarity. A document leaks an item from ``THRESHOLD``
-on.
+The words of an item are aligned with parts of a document by Smith-Waterman (a match +1, a
+change or a gap -1); the best local score, divided by the number of the item's words, is
+the similarity. A document leaks an item from ``THRESHOLD`` on.
+
+Which parts are aligned follows from that score, so that none is missed. A passage of score
+S in an item of n words has m matches and at most m - S edits, which cut the matches into at
+most m - S + 1 runs: at least S - 1 pairs of neighbouring words are unchanged, inside at most
+2 n - S words of the document. Of the item's n - 1 pairs, the most frequent ones, counted
+over all documents, are left out so that at least half of those S - 1 remain; a part of the
+document is aligned where so many of the remaining pairs stand together.
 
 The benchmark goes to the tasks in blocks of bounded bytes; there is one pass for each
 block, so its size is not limited. Words are compared by 64-bit hashes of their lower case.
 
-Null text, or a text or item of fewer than ``GRAM`` words: no leak. Rows without an id are
+Null text, or a text or item of fewer than ``LEAST`` words: no leak (nor is a single common
+word one, if the threshold is so low that it would do). Rows without an id are
 not reported, nor are items without one. Repeated rows and ids: one row for each (doc_id,
 item_id), with the highest score. Empty tables: empty result.
 """
@@ -27,40 +31,49 @@ from pyspark.sql import functions as F
 
 from wayreach.llm.columns import grams, slices, spans, text_bytes, words
 
-GRAM = 3
-WINDOW = 3
+GRAM = 2
+LEAST = 3
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
-TOGETHER = 1 << 21  # cells of a batch of alignments
+TOGETHER = 1 << 21  # cells of a batch of alignments, and common pairs of a batch of documents
 RESULT = "doc_id long, item_id long, score double, matched_to long"
 
 
 class Items:
     """One block of the benchmark: its words and the runs of words in it."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], threshold: float = THRESHOLD):
         data, bounds = text_bytes(pa.array(texts, pa.string()), lower=True)
         self.ids = np.array(ids, np.int64)
         self.words, self.offsets = words(data, bounds)
-        self.grams, self.at = grams(self.words, self.offsets, GRAM)
-        self.item = spans(self.offsets)[self.at]
+        size = np.diff(self.offsets)
+        self.grams, at = grams(self.words, self.offsets, GRAM)
+        self.item = spans(self.offsets)[at]
+        long = size[self.item] >= LEAST
+        self.grams, self.item = self.grams[long], self.item[long]
         self.distinct = np.unique(self.grams)
-        self.seeds = self.grams, self.at, self.item
+        least = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        # words of a passage in the document, unchanged pairs in it, and those of them that are looked for
+        self.span = 2 * size - least
+        self.shared = np.maximum(least - 1, 1)
+        self.needed = -(-self.shared // 2)
+        self.seeds = self.grams, self.item
 
     def choose_seeds(self, found: np.ndarray, n: np.ndarray) -> None:
-        """Keep the rarest of every WINDOW neighbouring grams; ``found`` occur in ``n`` documents."""
+        """Leave out each item's most frequent grams, as many as ``needed`` allows; ``found`` occur in ``n`` documents."""
         often = np.zeros(len(self.distinct), np.int64)
         often[np.searchsorted(self.distinct, found)] = n
-        rank = often[np.searchsorted(self.distinct, self.grams)]
-        chosen = np.zeros(len(rank), bool)
-        for item in np.unique(self.item):
-            rows = np.flatnonzero(self.item == item)
-            for first in range(max(1, len(rows) - WINDOW + 1)):
-                window = rows[first : first + WINDOW]
-                chosen[window[np.argmin(rank[window])]] = True
-        order = np.flatnonzero(chosen)
-        order = order[np.argsort(self.grams[order], kind="stable")]
-        self.seeds = self.grams[order], self.at[order], self.item[order]
+        order = np.lexsort((often[np.searchsorted(self.distinct, self.grams)], self.item))
+        item = self.item[order]
+        place = np.arange(len(item)) - np.searchsorted(item, item)
+        total = np.bincount(item, minlength=len(self.ids))
+        chosen = order[place < (total - self.shared + self.needed)[item]]
+        # a gram that an item holds several times is one seed
+        order = chosen[np.lexsort((self.item[chosen], self.grams[chosen]))]
+        gram, item = self.grams[order], self.item[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
+        self.seeds = gram[first], item[first]
 
 
 def members(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,23 +136,40 @@ def document_counts(docs: DataFrame, items: Items) -> DataFrame:
 
 
 def _passages(hashes: np.ndarray, offsets: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first word, end) of the parts of documents that hold seeds of an item."""
-    seed_grams, seed_at, seed_item = items.seeds
+    """(document, item, first word, end) of the parts of documents that could hold an item."""
+    seed_grams, seed_item = items.seeds
     found, at = grams(hashes, offsets, GRAM)
     first, n = members(seed_grams, found)
-    hit = np.repeat(np.flatnonzero(n), n[n > 0])
-    seed = first[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n[n > 0]) - n[n > 0], n[n > 0])
-    doc, item = spans(offsets)[at[hit]], seed_item[seed]
-    # where the item's first word would stand in the document
-    start = at[hit] - (seed_at[seed] - items.offsets[item])
-    order = np.lexsort((start, item, doc))
-    open_: tuple[int, int, int] | None = None
-    for d, i, s in zip(doc[order].tolist(), item[order].tolist(), start[order].tolist(), strict=True):
-        size = int(items.offsets[i + 1] - items.offsets[i])
-        if open_ is None or open_[:2] != (d, i) or s > open_[2] + size // 2:
-            open_ = d, i, s
-            # room for words put in or left out before and behind the first seed
-            yield d, i, max(int(offsets[d]), s - size // 2), min(int(offsets[d + 1]), s + 2 * size)
+    bounds = np.searchsorted(at, offsets)  # of the documents in ``found``
+    hits = np.concatenate(([0], np.cumsum(n)))[bounds]
+    for low, high in slices(hits, TOGETHER):
+        rows = np.arange(bounds[low], bounds[high])
+        rows = rows[n[rows] > 0]
+        many = n[rows]
+        seed = np.repeat(first[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        place, item = np.repeat(at[rows], many), seed_item[seed]
+        doc = np.searchsorted(offsets, place, "right") - 1
+        order = np.lexsort((place, item, doc))
+        place, item, doc = place[order], item[order], doc[order]
+        # enough seeds, from one to the last needed one, within the words of a passage
+        last = np.arange(len(place)) + items.needed[item] - 1
+        start = np.flatnonzero(last < len(place))
+        last = last[start]
+        near = (item[last] == item[start]) & (doc[last] == doc[start]) & (place[last] - place[start] <= items.span[item[start]] - GRAM)
+        start, last = start[near], last[near]
+        doc, item, size = doc[start], item[start], items.span[item[start]]
+        begin = np.maximum(place[last] + GRAM - size, offsets[doc])
+        end = np.minimum(place[start] + size, offsets[doc + 1])
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(doc))[: len(heads)] - 1
+        for d, i, a, b, width in zip(doc[heads].tolist(), item[heads].tolist(), begin[heads].tolist(), end[tails].tolist(), size[heads].tolist(), strict=True):
+            # long parts in pieces that have a passage's length in common
+            while b - a > 4 * width:
+                yield d, i, a, a + 4 * width
+                a += 3 * width
+            yield d, i, a, b
 
 
 def leaks_of_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
@@ -155,11 +185,11 @@ def leaks_of_block(docs: DataFrame, items: Items, threshold: float) -> DataFrame
                     if found is not None:
                         waiting.append(found)
                         cells += found[3] - found[2]
-                    if waiting and (found is None or cells * max(3, len(waiting)) > TOGETHER):
+                    if waiting and (found is None or cells > TOGETHER // 8):
                         queries = [block.words[block.offsets[i] : block.offsets[i + 1]] for _, i, _, _ in waiting]
                         score, end = aligned(queries, [hashes[a:b] for _, _, a, b in waiting])
                         for (d, i, a, _), s, e, q in zip(waiting, score.tolist(), end.tolist(), queries, strict=True):
-                            if s >= threshold * len(q):
+                            if s >= threshold * len(q) and offsets[d + 1] - offsets[d] >= LEAST:
                                 rows.append((ids[base + d].as_py(), int(block.ids[i]), s / len(q), a + e - int(offsets[d])))
                         waiting, cells = [], 0
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
@@ -179,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     blocks, found = -(-size // BLOCK_BYTES), []
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
-        items = Items(rows["item_id"].to_pylist(), rows["text"].to_pylist())
+        items = Items(rows["item_id"].to_pylist(), rows["text"].to_pylist(), threshold)
         if not len(items.grams):
             continue
         counted = document_counts(texts, items).toArrow()
