@@ -28,8 +28,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that many documents of a source carry."""
-    return line_dedup.dedup(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Drop lines that many unlike documents of a source carry; copies are for the next stage."""
+    return line_dedup.dedup(docs, counts=False, copies=False).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 
+import corpus_pipeline
 from wayreach.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, source string, n_lines string, __host string"
@@ -38,3 +39,18 @@ def test_sql_says_the_same(spark):
     spark_rows = sorted((r["doc_id"], str(r["text"]), r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(pages(spark, rows)).collect())
     assert spark_rows == sorted((a, str(b), c, d) for a, b, c, d in con.execute(line_dedup.sql()).fetchall())
     assert any(r[3] for r in spark_rows)
+
+
+def test_lines_of_a_few_hundredths_of_a_host_go(spark):
+    """By default: 2 and 5 % of 400 pages go, 1 % stays; four pages of a small host stay."""
+    rows = [(k, "\n".join([f"own {k}", *["five"] * (k < 20), *["two"] * (k < 8), *["one"] * (k < 4)]), "a") for k in range(400)]
+    rows += [(1000 + k, "\n".join([f"own {k}", *["few"] * (k < 4)]), "b") for k in range(20)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(pages(spark, rows)).collect()}
+    assert found == {k: "\n".join([f"own {k}", *["one"] * (k < 4)]) for k in range(400)} | {1000 + k: "\n".join([f"own {k}", *["few"] * (k < 4)]) for k in range(20)}
+
+
+def test_copies_are_no_boilerplate_in_the_pipeline(spark):
+    rows = [(k, f"menu\nown {k}", "a") for k in range(60)] + [(100 + k, "menu\nfirst\nsecond", "a") for k in range(30)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_site_lines(spark, docs, "").collect()}
+    assert found == {k: f"own {k}" for k in range(60)} | {100 + k: "first\nsecond" for k in range(30)}

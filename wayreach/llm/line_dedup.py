@@ -2,10 +2,12 @@
 
 A line is boilerplate for its host if more than ``ratio`` of the host's pages, and at least
 ``min_pages`` of them, contain it. Pages are rows; a line counts once for each page, lines
-are compared without the spaces around them, and blank lines always stay.
+are compared without the spaces around them, and blank lines always stay. Without ``copies``
+the pages of a host that have the same text count as one, so that a page that was copied
+often is not taken for boilerplate itself.
 
 Null text: stays null. Null host: the pages without a host are one host (as is the empty
-name). Repeated rows: each is a page. Empty input: empty result. Other columns pass through;
+name). Repeated rows: each is a page, unless copies do not count. Empty input: empty result. Other columns pass through;
 ``n_lines`` and ``n_dropped`` replace columns of those names.
 
 Only built-in functions are used. A line that occurs on more than a share r of the pages is
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from wayreach.functions.scratch import Scratch
 
-RATIO = 0.1
+# A page's own sentences recur on single pages; what one page in a hundred shares comes from the site.
+RATIO = 0.01
 MIN_PAGES = 5
 SALTS = 16
 HOST, SALT, BAD, LINES = "__host", "__salt", "__bad", "__lines"
@@ -30,22 +33,25 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(host, line hashes) of the hosts that have boilerplate."""
     named = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias(HOST), F.col(text).alias("t"))
-    totals = named.groupBy(HOST).agg(F.count("*").alias("pages"))
+    same = F.xxhash64("t")
+    pages_of = named if copies else named.select(HOST, same.alias("same")).distinct()
+    totals = pages_of.groupBy(HOST).agg(F.count("*").alias("pages"))
     shown = F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")
     keys = F.array_distinct(F.transform(shown, line_key))
-    counts = named.select(HOST, F.explode(keys).alias("key")).groupBy(HOST, "key").agg(F.count("*").alias("n"))
+    held = named.select(HOST, F.explode(keys).alias("key")) if copies else named.select(HOST, same.alias("same"), F.explode(keys).alias("key")).distinct()
+    counts = held.groupBy(HOST, "key").agg(F.count("*").alias("n"))
     frequent = counts.where(F.col("n") >= min_pages).join(totals, HOST)
     return frequent.where(F.col("n") > ratio * F.col("pages")).groupBy(HOST).agg(F.collect_list("key").alias(BAD))
 
 
 def dedup(
-    pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True
+    pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True, copies: bool = True
 ) -> DataFrame:
     """``pages`` without their boilerplate lines; with ``counts`` also ``n_lines`` and ``n_dropped``."""
-    lists = Scratch(pages.sparkSession, "line-dedup").keep(boilerplate(pages, text, host, ratio, min_pages))
+    lists = Scratch(pages.sparkSession, "line-dedup").keep(boilerplate(pages, text, host, ratio, min_pages, copies))
     salted = lists.withColumn(SALT, F.explode(F.array([F.lit(k) for k in range(SALTS)])))
     rows = pages.withColumns(
         {HOST: F.coalesce(F.col(host).cast("string"), F.lit("")), SALT: F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")}
