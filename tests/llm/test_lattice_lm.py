@@ -77,3 +77,16 @@ def test_without_rows(spark):
     none = lattice_lm.score(docs, F.lit(True), PATH).collect()
     assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in none} == {(1, 3, 0, 0), (2, 1, 0, 0)}
     assert lattice_lm.score(docs.limit(0), F.lit(False), PATH).count() == 0
+
+
+def test_every_round_sees_all_words(spark, monkeypatch):
+    rounds, expect = [], lattice_lm.expected_pieces
+
+    def counted(words, spelling):
+        rounds.append(words.count())
+        return expect(words, spelling)
+
+    monkeypatch.setattr(lattice_lm, "expected_pieces", counted)
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda k: F.hex(k))).alias("text"))
+    assert lattice_lm.score(docs, F.lit(False), PATH).count() == 80
+    assert rounds == [80_000] * 4

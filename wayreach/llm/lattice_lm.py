@@ -9,10 +9,9 @@ one end. The model shares the probability of a word between
   forward recursion in log space adds them up. Characters outside the vocabulary are
   spelled in bytes; a stop piece ends each word, so the spellings' probabilities sum to one.
 
-The vocabulary's order gives first scores. ``FIRST_ROUNDS`` rounds of expectation-maximisation
-over about ``FIRST_WORDS`` different training words, chosen by hash, bring them near their
-goal, and ``ROUNDS`` rounds over all different training words settle them (each word counts
-once, since spelling serves new words). D is n1 / (n1 + 2 n2) from the numbers of words seen once and twice.
+The vocabulary's order gives first scores, and ``ROUNDS`` rounds of expectation-maximisation,
+each over all different training words, settle them (each word counts once, since spelling
+serves new words). D is n1 / (n1 + 2 n2) from the numbers of words seen once and twice.
 
 All statistics cover all training rows. Different words are counted, spelled and scored
 once, as a table; texts look the ``FREQUENT`` most frequent short words up in a broadcast
@@ -36,8 +35,7 @@ from pyspark.sql import functions as F
 
 from wayreach.functions.scratch import Scratch
 
-FIRST_ROUNDS, FIRST_WORDS = 3, 60_000
-ROUNDS = 1
+ROUNDS = 4
 FREQUENT = 200_000
 FREQUENT_BYTES = 64  # longer words are always joined
 TOGETHER = 200_000  # words or rows that a task holds before it hands them on
@@ -185,10 +183,6 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, rounds: int = ROUN
     base_of = lambda c: math.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     spelling = load_pieces(vocabulary)
     seen = counts.where("c > 0")
-    share = min(1.0, FIRST_WORDS / max(different, 1))
-    some = seen.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30))
-    for _ in range(FIRST_ROUNDS if different else 0):
-        spelling = expected_pieces(some, spelling)
     for _ in range(rounds if different else 0):
         spelling = expected_pieces(seen, spelling)
     shared = context.broadcast(spelling)
