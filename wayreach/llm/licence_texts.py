@@ -1,4 +1,10 @@
-"""Texts of well-known licences and notices (fixed values, public texts)."""
+"""Texts of well-known licences and notices (fixed values, public texts).
+
+Long licences are the files of ``licence_files``, unchanged, named by their SPDX id; where a
+file goes on after its terms, the terms alone are a text too.
+"""
+
+from pathlib import Path
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -44,3 +50,11 @@ You should have received a copy of the GNU General Public License along with thi
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
 }
+
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+for _file in sorted((Path(__file__).parent / "licence_files").glob("*.txt")):
+    _text = _file.read_text(encoding="utf-8")
+    TEXTS[_file.stem] = _text
+    _terms, _end, _more = _text.partition(END_OF_TERMS)
+    if _more.strip():
+        TEXTS[f"{_file.stem} (terms)"] = _terms + _end

@@ -32,7 +32,6 @@ SPELLINGS = [
     ("catalogue", "catalog"),
     ("categorise", "categorize"),
     ("centre", "center"),
-    ("copyright owner", "copyright holder"),
     ("favour", "favor"),
     ("favourite", "favorite"),
     ("fulfil", "fulfill"),
@@ -46,6 +45,7 @@ SPELLINGS = [
     ("non commercial", "noncommercial"),
     ("optimisation", "optimization"),
     ("organisation", "organization"),
+    ("owner", "holder"),  # alone, as "copyright owner" may be cut by the end of a line
     ("per cent", "percent"),
     ("practise", "practice"),
     ("programme", "program"),
@@ -56,7 +56,36 @@ SPELLINGS = [
     ("whilst", "while"),
     ("wilful", "willful"),
 ]
-NOTICE = r"^[^\p{L}\p{N}(©]*(copyright( |$)|\(c\)|©|all rights reserved)[^\n]*$"
+# Words that go on with a sentence after "copyright", so that its line is no notice
+NO_HOLDER = (
+    "a act also an and any are as assignment before but by can claim claims control disclaimer disclaimers doctrine doctrines for from has holder holders "
+    "if in infringement interest interests is it its law laws like license licensed licenses line lines material may message messages notice notices of on only or owner "
+    "owners ownership patent patents permission permissions protection related resulting right rights shall similar statement statements status term terms than that the this "
+    "to trademark trademarks treaty treaties under was which will with work works year years"
+).split()
+
+
+# ASCII without small letters and digits; classes of all letters would make the pattern too large for DuckDB
+APART = r"\x00-\x2f\x3a-\x60\x7b-\x7f"
+
+
+def other_word(words: list[str]) -> str:
+    """Pattern of the rest of any word but these (without lookahead, which DuckDB has not)."""
+    heads = sorted({w[0] for w in words if w})
+    ways = [f"[^{APART}{''.join(heads)}][^{APART}]*"]
+    for head in heads:
+        rest = [w[1:] for w in words if w[:1] == head]
+        ways.append(f"{head}{other_word(rest)}" + ("" if "" in rest else "?"))
+    return f"(?:{'|'.join(ways)})"
+
+
+# A notice has a year, (c) or a holder after the word; "(c)" alone may be the item of a list.
+NO_LETTER = r"[^\p{L}\p{N}\n]"
+NOTICE = (
+    rf"^[^\p{{L}}\p{{N}}(©]*(copyright[^\p{{L}}\p{{N}}\n.;]+{other_word(NO_HOLDER)}({NO_LETTER}|$)"
+    rf"|copyright{NO_LETTER}*©|copyright the [^\n]*(authors|contributors|developers|project|team){NO_LETTER}*$"
+    rf"|\(c\){NO_LETTER}*(\d{{4}}|copyright)|©|all rights reserved)[^\n]*$"
+)
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
