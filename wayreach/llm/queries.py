@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayreach.functions.scratch import Scratch
-from wayreach.llm import block_knn, bpe, decontam, language, lattice_lm, licences, line_dedup, near_dedup, token_table, warc
+from wayreach.llm import block_knn, bpe, decontam, infill, language, lattice_lm, licences, line_dedup, near_dedup, token_table, warc
 from wayreach.llm.columns import id_hash
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -101,3 +101,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_hash(F.col("doc_id")) % 5 == 1
     return lattice_lm.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path(PIECES))
+
+
+@query(infill.sql())
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    restored = made.withColumn("restored", infill.restore(F.col("output"), F.col("form")))
+    return restored.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
