@@ -78,15 +78,16 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, offsets of the texts in words).
 
-    A word's hash is a polynomial over its bytes, taken from one running sum.
+    A word's hash is a polynomial over its bytes, taken from one running sum. ``letters``
+    says of each byte whether it belongs to words.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _word_bytes()[data]
+    inside = (_word_bytes() if letters is None else letters)[data]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     starts = np.flatnonzero(inside & (border[:n] | ~np.concatenate(([False], inside[:-1]))))

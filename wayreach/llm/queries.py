@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayreach.functions.scratch import Scratch
-from wayreach.llm import block_knn, bpe, decontam, infill, language, lattice_lm, licences, line_dedup, near_dedup, token_table, warc
+from wayreach.llm import block_knn, bpe, decontam, infill, language, lattice_lm, licences, line_dedup, near_dedup, ngram_join, token_table, vector_codes, warc
 from wayreach.llm.columns import id_hash
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -116,3 +116,20 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query()
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        F.col("id").alias("vec_id"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"),
+    )
+
+
+@query()
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
