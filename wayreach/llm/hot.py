@@ -26,4 +26,5 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, how: s
     marked = rows.join(F.broadcast(hot), rows[key].eqNullSafe(F.col("__hot")), "left")
     missed = marked.where("__found is null").drop("__hot", "__found")
     found = marked.where("__found is not null").select(*rows.columns, *[F.col(f"__found.{c}").alias(c) for c in new])
-    return found.unionByName(missed.join(cold, missed[key].eqNullSafe(F.col("__cold")), how).drop("__cold"))
+    # a sorted merge at every size: neither side is bounded
+    return found.unionByName(missed.join(cold.hint("merge"), missed[key].eqNullSafe(F.col("__cold")), how).drop("__cold"))

@@ -5,7 +5,8 @@ the union of their sets is common to both. The join returns what links connect.
 
 1. Texts of equal sets are one class. All following steps are about classes.
 2. A class of which more than 100 - PERCENT per cent of the n-grams occur nowhere else has no
-   partner. A quarter of all n-grams, chosen by hash, already shows that for most classes.
+   partner. A quarter of all n-grams, chosen by hash, already shows that for most classes,
+   and for more of them once n-grams are counted among the remaining classes only.
 3. N-grams of the others are ordered by document frequency, the rarest first. Of n of them a
    class needs its first n - ceil(PERCENT n / 100) + 1 only: partners share one of these
    (prefix filter). They are the postings by which classes are joined.
@@ -45,8 +46,9 @@ from wayreach.llm.links import components
 SIZE = 3
 PERCENT = 90
 SAMPLE = 4  # one of so many n-grams is counted first
+ROUNDS = 3  # and so often
 BINS = 32
-BLOCK = 1024
+BLOCK = 512
 HUB_ROWS = 2048
 POSTINGS_AT_ONCE = 20_000
 
@@ -119,20 +121,30 @@ def joint_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n + m) * percent // (100 + percent))
 
 
-def survivors(sketches: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The classes that may have a partner, judged by the chosen n-grams."""
-    seen = sketches.where("n > 0 and doc_id is not null").select(F.explode("grams").alias("g"), "a", "n")
-    # unique to a class: the same name wherever it occurs
-    own = seen.groupBy("g").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.min("n").alias("n")).where("a = z")
-    lonely = own.groupBy("a", "n").agg(F.count("*").alias("own"))
-    lonely = lonely.where(F.col("own") > F.col("n") - least_overlap(F.col("n"), percent)).select("a", "n")
-    return classes.join(lonely, ["a", "n"], "left_anti")
+def survivors(sketches: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The classes that may have a partner, judged by the chosen n-grams.
+
+    What only dropped classes shared with a class is its own in the next round, in which it
+    may be dropped too.
+    """
+    left = sketches.where("n > 0 and doc_id is not null").select("a", "n", "grams")
+    for number in range(ROUNDS):
+        seen = left.select(F.explode("grams").alias("g"), "a", "n")
+        # unique to a class: the same name wherever it occurs
+        own = seen.groupBy("g").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.min("n").alias("n")).where("a = z")
+        lonely = own.groupBy("a", "n").agg(F.count("*").alias("own"))
+        lonely = lonely.where(F.col("own") > F.col("n") - least_overlap(F.col("n"), percent)).select("a", "n")
+        classes = scratch.keep(classes.join(lonely, ["a", "n"], "left_anti"), "alive")
+        if number + 1 < ROUNDS:
+            left = left.join(classes.select("a", "n").distinct(), ["a", "n"], "left_semi")
+            left = scratch.keep(left, "alive-sketches")
+    return classes
 
 
 def class_sets(texts: DataFrame, alive: DataFrame, size: int) -> DataFrame:
     """(id, n, grams) of each class in ``alive``, from the text of a document that it holds."""
     read = texts.join(alive.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_read(size, 1), SETS)
-    found = read.join(alive.select("id", F.col("doc").alias("doc_id"), "a", "b", "n"), ["doc_id", "a", "b", "n"])
+    found = read.join(alive.select("id", F.col("doc").alias("doc_id"), "a", "b", "n").hint("merge"), ["doc_id", "a", "b", "n"])
     return found.select("id", "n", "grams").dropDuplicates(["id"])
 
 
@@ -206,11 +218,11 @@ def verified(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
     fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("fan"))
     hubs = fans.join(sets_.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("grams").alias("t")), "b")
     hubs = hubs.select("b", "m", "t", "fan", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"))
-    asked = pairs.join(sets_.select(F.col("id").alias("a"), "n", F.col("grams").alias("s")), "a")
+    asked = pairs.hint("merge").join(sets_.select(F.col("id").alias("a"), "n", F.col("grams").alias("s")), "a")
     # a row of ``asked`` knows its part only with the hub's fan; few hubs have more than one
     wide = hubs.where("fan > 1").select("b", "fan").distinct()
     asked = asked.join(wide, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("fan", F.lit(1)).cast("long")).cast("int")).drop("fan")
-    both = asked.join(hubs.drop("fan"), ["b", "part"])
+    both = asked.hint("merge").join(hubs.drop("fan"), ["b", "part"])
     return both.where(linked(F.col("n"), F.col("m"), F.size(F.array_intersect("s", "t")), percent)).select("a", "b")
 
 
@@ -326,7 +338,7 @@ def _links(percent: int):
 
 def links(texts: DataFrame, classes: DataFrame, sketches: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """(id, group): the components of the classes that link."""
-    alive = scratch.keep(survivors(sketches, classes, percent), "alive")
+    alive = survivors(sketches, classes, percent, scratch)
     whole = scratch.keep(class_sets(texts, alive, size), "sets")
     ordered = scratch.keep(ordered_sets(whole, percent, scratch), "ordered")
     schema = "g long, id long, n int, own int, at int, bins array<int>"
