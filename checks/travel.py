@@ -95,14 +95,12 @@ OD_TO = "SELECT place AS origin_aid, src AS destination_aid, duration AS duratio
 
 
 def rounds(i: Inputs, limits: P.Limits = LIMITS, backward: bool = False):
-    """(labels, sources with their start) of the whole search."""
-    timed = P.with_departures(i.sources, [START])
-    events, paths = i.stop_events, i.footpaths
-    walk_at = None
+    """Labels of the whole search."""
+    starts, events, paths, walk_at = [START], i.stop_events, i.footpaths, None
     if backward:
-        timed, events, paths, limits = P.backward_inputs(timed, events, paths, limits)
+        starts, events, paths, limits = P.backward_inputs(starts, events, paths, limits)
         walk_at = -START
-    return P.travel_labels(timed, events, paths, i.near_buildings, limits, walk_at)
+    return P.travel_labels(i.sources, starts, events, paths, i.near_buildings, limits, walk_at)
 
 
 def journeys(i: Inputs, limits: P.Limits, backward: bool = False):

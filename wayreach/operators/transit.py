@@ -4,6 +4,8 @@ Travel goes in rounds; round k adds one ride. A label says how a place is reache
 round k: (src, dep, k, place, kind, t, start, walk_s, prev, board_t, trip). Walk labels
 have ``walk_s`` and come from ``prev``; ride labels have ``board_t`` and ``trip`` and
 were boarded at ``prev``. ``dep`` is the start (or, going backwards, arrival) second.
+The functions of one round work on labels; whole searches run in ``profile``, for all start
+times together.
 
 Travelling TO a place is the same search on mirrored time: events from
 ``timetable.mirrored``, starts as negative seconds, walk limits 1 and 3 swapped.
@@ -20,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.scratch import Scratch
-from . import timetable
+from . import profile, timetable
 
 CHANGE_S = 1
 SCAN_STEP_S = 300
@@ -117,32 +118,15 @@ def walk_only_trips(
 def board_next_trip(arrivals: DataFrame, events: DataFrame, wait: int, change: int = CHANGE_S) -> DataFrame:
     """First trip of each route to board after each (stop_id, t): the time-bucketed range join.
 
-    Windows ``[t + change, t + wait]`` touch at most two buckets as wide as the window, so
-    the join is an equality on (stop, bucket). Of the trips in the window the one first in
-    route order is taken. Adds (route_id, trip_id, seq, board_t).
+    Of the trips that leave in ``[t + change, t + wait]`` the one first in route order is
+    taken. Each event has the window of times from which it is that one, so the arrivals meet
+    one row for each trip taken. Adds (route_id, trip_id, seq, board_t).
     """
-    width = max(1, wait - change + 1)
-
-    def bucket(c: Column) -> Column:
-        return F.floor(c / width).cast("long")
-
-    t = F.col("t")
-    asked = arrivals.select("stop_id", "t").distinct()
-    asked = asked.withColumn(
-        "bucket", F.explode(F.sequence(bucket(t + change), bucket(t + wait)))
-    )
-    offered = events.select(
-        "stop_id", "route_id", "trip_id", "seq", "t_first", F.col("t").alias("board_t"), bucket(t).alias("bucket")
-    )
-    caught = asked.join(offered, ["stop_id", "bucket"]).filter(
-        (F.col("board_t") >= t + change) & (F.col("board_t") <= t + wait)
-    )
-    first = F.min(F.struct("t_first", "trip_id", "board_t"))
-    return (
-        caught.groupBy("stop_id", "t", "route_id", "seq")
-        .agg(first.alias("b"))
-        .select("stop_id", "t", "route_id", "seq", "b.trip_id", "b.board_t")
-    )
+    width = profile.bucket_width(wait, change)
+    offered = profile.in_buckets(profile.boarding_windows(events, wait, change), width)
+    asked = arrivals.select("stop_id", "t").distinct().withColumn("bucket", F.floor(F.col("t") / width))
+    caught = asked.join(offered, ["stop_id", "bucket"]).filter(F.col("t").between(F.col("from_t"), F.col("to_t")))
+    return caught.select("stop_id", "t", "route_id", "seq", "trip_id", "board_t")
 
 
 def board_previous_trip(arrivals: DataFrame, events: DataFrame, wait: int, change: int = CHANGE_S) -> DataFrame:
@@ -279,42 +263,21 @@ def egress_walk(rides: DataFrame, footpaths: DataFrame, walk3: int, horizon: int
 
 def travel_labels(
     sources: DataFrame,
+    departures: Sequence[int],
     events: DataFrame,
     footpaths: DataFrame,
     near_buildings: DataFrame,
     limits: Limits,
     walk_at: int | None = None,
 ) -> DataFrame:
-    """Labels of all rounds. ``sources``: (src, dep); ``footpaths`` with ``walk_s``.
-
-    Every round is written before the next one starts, so plans stay short and the way
-    back can be looked up afterwards instead of being carried through the shuffles.
-    """
-    scratch = Scratch(sources.sparkSession, "labels")
-    zero = initial_access(sources, footpaths, limits.walk1)
-    last = scratch.keep(zero.unionByName(walk_only_trips(sources, near_buildings, walk_at)), "k0")
-    rounds = [last]
-    for k in range(1, limits.max_transfers + 2):
-        arrivals = last.filter("kind = 's'").select(F.col("place").alias("stop_id"), "t")
-        wait = limits.first_wait if k == 1 else limits.wait_transfer
-        options = ride_options(board_next_trip(arrivals, events, wait), events, limits.horizon)
-        rides = scratch.keep(
-            ride_round(last, options, k, limits.horizon, limits.schedule), f"rides{k}"
-        )
-        if k <= limits.max_transfers:
-            walks = transfer_walk(rides, footpaths, limits.walk2, limits.walk3, limits.horizon)
-        else:
-            walks = egress_walk(rides, footpaths, limits.walk3, limits.horizon)
-        walks = scratch.keep(walks, f"walks{k}")
-        rounds += [rides, walks]
-        last = rides.unionByName(walks)
-    return reduce(DataFrame.unionByName, rounds)
+    """Labels of all rounds, from every source (src) at every departure; ``footpaths`` with ``walk_s``."""
+    return profile.Search(sources, departures, events, footpaths, near_buildings, limits, CHANGE_S, walk_at).labels()
 
 
 def backward_inputs(
-    sources: DataFrame, events: DataFrame, footpaths: DataFrame, limits: Limits
-) -> tuple[DataFrame, DataFrame, DataFrame, Limits]:
-    """The inputs of ``travel_labels`` for travelling TO the sources, arriving by ``dep``."""
+    departures: Sequence[int], events: DataFrame, footpaths: DataFrame, limits: Limits
+) -> tuple[list[int], DataFrame, DataFrame, Limits]:
+    """The inputs of ``travel_labels`` for travelling TO the sources, arriving by ``departures``."""
     turned = footpaths.select(
         F.col("to_id").alias("from_id"),
         F.col("to_kind").alias("from_kind"),
@@ -323,8 +286,7 @@ def backward_inputs(
         "walk_s",
     )
     shift = limits.gap if limits.schedule else 0
-    late = sources.select("src", (-(F.col("dep") + shift)).alias("dep"))
-    return late, timetable.mirrored(events), turned, limits.swapped()
+    return [-(d + shift) for d in departures], timetable.mirrored(events), turned, limits.swapped()
 
 
 # -- journeys ---------------------------------------------------------------------------
@@ -382,6 +344,27 @@ def schedule_scan(journeys: DataFrame) -> DataFrame:
     return out.select("src", "place", "kind", "b.*")
 
 
+def search(
+    sources: DataFrame,
+    events: DataFrame,
+    footpaths: DataFrame,
+    near_buildings: DataFrame,
+    start: int,
+    limits: Limits,
+    backward: bool = False,
+) -> profile.Search:
+    """The search FROM the sources (src) at ``start``, or TO them by ``start`` (in mirrored time)."""
+    starts = schedule_starts(start, limits.gap, backward) if limits.schedule else [start]
+    latest = walk_at = None
+    if backward:
+        starts, events, footpaths, limits = backward_inputs(starts, events, footpaths, limits)
+        walk_at = -start
+        if limits.schedule:
+            # mirrored start is minus the arrival; arrivals before the target time are dropped
+            latest = -start
+    return profile.Search(sources, starts, events, footpaths, near_buildings, limits, CHANGE_S, walk_at, latest)
+
+
 def transit_journeys(
     sources: DataFrame,
     events: DataFrame,
@@ -390,24 +373,17 @@ def transit_journeys(
     start: int,
     limits: Limits,
     backward: bool = False,
-    include_stops: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(journeys, labels) FROM the sources at ``start``, or TO them by ``start``.
 
-    ``sources``: (src). Times are mirrored (negative) if ``backward``.
+    ``sources``: (src). Times are mirrored (negative) if ``backward``. In schedule mode the
+    shortest journey of all start times is kept.
     """
-    starts = schedule_starts(start, limits.gap, backward) if limits.schedule else [start]
-    timed = with_departures(sources, starts)
-    window = walk_at = None
-    if backward:
-        timed, events, footpaths, limits = backward_inputs(timed, events, footpaths, limits)
-        if limits.schedule:
-            # mirrored start is minus the arrival; arrivals before the target time are dropped
-            window = F.col("start") <= F.lit(-start)
-        walk_at = -start
-    labels = travel_labels(timed, events, footpaths, near_buildings, limits, walk_at)
-    journeys = all_destinations(labels, limits, include_stops, window)
-    return (schedule_scan(journeys) if limits.schedule else journeys), labels
+    found = search(sources, events, footpaths, near_buildings, start, limits, backward)
+    journeys = found.with_last_walk(found.journeys())
+    none = {"kind": F.lit("b"), "board_t": F.lit(None).cast("long"), "trip": F.lit(None).cast("string")}
+    journeys = journeys.withColumns(none).select("src", "dep", "place", "kind", "duration", "transfers", "k", "t", "start", "walk_s", "prev", "board_t", "trip")
+    return journeys, found.labels()
 
 
 def transit_runs(
@@ -422,22 +398,23 @@ def transit_runs(
     """(src, place, run, duration, transfers) for many run times in one search.
 
     Each distinct start time is searched once, although in schedule mode neighbouring
-    runs try the same ones; the runs share the labels and filter them separately.
+    runs try the same ones; the runs share the ways and filter them separately.
     """
     spark = sources.sparkSession
     starts = {t: schedule_starts(t, limits.gap, backward) if limits.schedule else [t] for t in times}
     sign, shift = (-1, limits.gap if limits.schedule else 0) if backward else (1, 0)
     plan = [(int(t), int(sign * (d + shift))) for t, ds in starts.items() for d in ds]
     runs = spark.createDataFrame(plan, "run long, dep long")
-    timed = with_departures(sources, sorted({d for ds in starts.values() for d in ds}))
+    departures = sorted({d for ds in starts.values() for d in ds})
     walkers = with_departures(sources, times).withColumn("run", F.col("dep"))
     if backward:
-        timed, events, footpaths, limits = backward_inputs(timed, events, footpaths, limits)
+        departures, events, footpaths, limits = backward_inputs(departures, events, footpaths, limits)
         walkers = walkers.withColumn("dep", -F.col("dep"))
-    labels = travel_labels(timed, events, footpaths, near_buildings.filter(F.lit(False)), limits)
-    rode = labels.filter("kind = 'b' AND k > 0").join(runs, "dep")
+    found = profile.Search(sources, departures, events, footpaths, near_buildings, limits, CHANGE_S)
+    # the last walk is known only to keep its limit or not
+    rode = found.arrivals().withColumn("walk_s", F.when(F.col("allowed"), limits.walk3)).drop("allowed").join(F.broadcast(runs), "dep")
     on_foot = walk_only_trips(walkers.select("src", "dep"), near_buildings).withColumn("run", sign * F.col("dep"))
-    reached = rode.unionByName(on_foot).filter(F.col("place") != F.col("src"))
+    reached = rode.unionByName(on_foot.select(rode.columns)).filter(F.col("place") != F.col("src"))
     window = None
     if backward and limits.schedule:
         window = F.col("start") <= -F.col("run")
@@ -458,12 +435,11 @@ def od_rows(journeys: DataFrame, backward: bool = False) -> DataFrame:
 
 
 def transit_from(sources, events, footpaths, near_buildings, start, limits=Limits()) -> DataFrame:
-    return od_rows(transit_journeys(sources, events, footpaths, near_buildings, start, limits)[0])
+    return od_rows(search(sources, events, footpaths, near_buildings, start, limits).journeys())
 
 
 def transit_to(sources, events, footpaths, near_buildings, start, limits=Limits()) -> DataFrame:
-    journeys, _ = transit_journeys(sources, events, footpaths, near_buildings, start, limits, True)
-    return od_rows(journeys, True)
+    return od_rows(search(sources, events, footpaths, near_buildings, start, limits, True).journeys(), True)
 
 
 # -- journey table ------------------------------------------------------------------------
