@@ -5,8 +5,7 @@ the union of their sets is common to both. The join returns what links connect.
 
 1. Texts of equal sets are one class. All following steps are about classes.
 2. A class of which more than 100 - PERCENT per cent of the n-grams occur nowhere else has no
-   partner. A quarter of all n-grams, chosen by hash, already shows that for most classes,
-   and for more of them once n-grams are counted among the remaining classes only.
+   partner. A quarter of all n-grams, chosen by hash, already shows that for most classes.
 3. N-grams of the others are ordered by document frequency, the rarest first. Of n of them a
    class needs its first n - ceil(PERCENT n / 100) + 1 only: partners share one of these
    (prefix filter). They are the postings by which classes are joined.
@@ -35,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +46,6 @@ from wayreach.llm.links import components
 SIZE = 3
 PERCENT = 90
 SAMPLE = 4  # one of so many n-grams is counted first
-ROUNDS = 3  # and so often
 BINS = 32
 BLOCK = 512
 HUB_ROWS = 2048
@@ -121,31 +120,37 @@ def joint_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n + m) * percent // (100 + percent))
 
 
-def survivors(sketches: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The classes that may have a partner, judged by the chosen n-grams.
-
-    What only dropped classes shared with a class is its own in the next round, in which it
-    may be dropped too.
-    """
-    left = sketches.where("n > 0 and doc_id is not null").select("a", "n", "grams")
-    for number in range(ROUNDS):
-        seen = left.select(F.explode("grams").alias("g"), "a", "n")
-        # unique to a class: the same name wherever it occurs
-        own = seen.groupBy("g").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.min("n").alias("n")).where("a = z")
-        lonely = own.groupBy("a", "n").agg(F.count("*").alias("own"))
-        lonely = lonely.where(F.col("own") > F.col("n") - least_overlap(F.col("n"), percent)).select("a", "n")
-        classes = scratch.keep(classes.join(lonely, ["a", "n"], "left_anti"), "alive")
-        if number + 1 < ROUNDS:
-            left = left.join(classes.select("a", "n").distinct(), ["a", "n"], "left_semi")
-            left = scratch.keep(left, "alive-sketches")
-    return classes
+def survivors(sketches: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The classes that may have a partner, judged by the chosen n-grams."""
+    seen = sketches.where("n > 0 and doc_id is not null").select(F.explode("grams").alias("g"), "a", "n")
+    # unique to a class: the same name wherever it occurs
+    own = seen.groupBy("g").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.min("n").alias("n")).where("a = z")
+    lonely = own.groupBy("a", "n").agg(F.count("*").alias("own"))
+    lonely = lonely.where(F.col("own") > F.col("n") - least_overlap(F.col("n"), percent)).select("a", "n")
+    return classes.join(lonely.hint("merge"), ["a", "n"], "left_anti")
 
 
 def class_sets(texts: DataFrame, alive: DataFrame, size: int) -> DataFrame:
     """(id, n, grams) of each class in ``alive``, from the text of a document that it holds."""
-    read = texts.join(alive.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_read(size, 1), SETS)
-    found = read.join(alive.select("id", F.col("doc").alias("doc_id"), "a", "b", "n").hint("merge"), ["doc_id", "a", "b", "n"])
-    return found.select("id", "n", "grams").dropDuplicates(["id"])
+    asked = alive.select(F.col("doc").alias("doc_id"), "id", F.col("a").alias("want_a"), F.col("b").alias("want_b"))
+    # a sorted merge at every size: neither side is bounded
+    found = texts.join(asked.hint("merge"), "doc_id").mapInArrow(_read_wanted(size), "id long, n int, grams array<long>")
+    return found.dropDuplicates(["id"])
+
+
+def _read_wanted(size: int):
+    """Rows (id, n, grams) of the texts that have the sums wanted; an id may belong to several texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column("text"))
+            for a, b in slices(bounds):
+                found, at = sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], size)
+                rows = batch.slice(a, b - a)
+                right = pc.and_(*[pc.equal(rows.column(f"want_{c}"), x) for c, x in zip("ab", _sums(found, at), strict=True)])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(at).astype(np.int32)), _lists(found, at)], names=["id", "n", "grams"]).filter(right)
+
+    return run
 
 
 def ordered_sets(whole: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -338,7 +343,7 @@ def _links(percent: int):
 
 def links(texts: DataFrame, classes: DataFrame, sketches: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """(id, group): the components of the classes that link."""
-    alive = survivors(sketches, classes, percent, scratch)
+    alive = scratch.keep(survivors(sketches, classes, percent), "alive")
     whole = scratch.keep(class_sets(texts, alive, size), "sets")
     ordered = scratch.keep(ordered_sets(whole, percent, scratch), "ordered")
     schema = "g long, id long, n int, own int, at int, bins array<int>"
