@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern that splits text for byte-level BPE
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHED_PIECES = 700_000  # some hundred MB in each Python worker
+# tables of each Python worker, which last as long as it does
+CACHED_BYTES = 48 << 20
+ENTRY_BYTES = 190  # of a piece in the tables, without its letters and ids
+JUDGED_PAIRS = 200_000
 # A space before white space or the end starts no piece of its own. The four control
 # characters count as white space for `re` only; texts that hold them are one piece.
 _RARE = re.compile(r" \s| \Z|[\x1c-\x1f]")
@@ -49,8 +52,8 @@ def cut(text: str) -> tuple[list[str], list[str]]:
 class Seen:
     """Ids of short pieces met so far, until the tables are full; frequent pieces come early."""
 
-    def __init__(self, limit: int = CACHED_PIECES) -> None:
-        self.limit = limit
+    def __init__(self, limit: int = CACHED_BYTES) -> None:
+        self.left = limit
         self.whole: dict[str, bytes] = {"": b""}
         self.after_space: dict[str, bytes] = {}
 
@@ -67,7 +70,8 @@ class Seen:
         return self.after_space.get(piece[1:]) if piece[:1] == " " else self.whole.get(piece)
 
     def keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) < 64 and len(self.whole) + len(self.after_space) < self.limit:
+        if len(piece) < 64 and self.left > 0:
+            self.left -= ENTRY_BYTES + len(piece) + len(ids)
             if piece[:1] == " ":
                 self.after_space[piece[1:]] = ids
             else:
@@ -146,7 +150,7 @@ class Vocabulary:
                 moment, left = a, self.halves[left][1]
             else:
                 moment, right = b + 1, self.halves[right][0]
-        if len(self.fits) >= 2_000_000:
+        if len(self.fits) >= JUDGED_PAIRS:
             self.fits.clear()
         self.fits[pair] = fits
         return fits

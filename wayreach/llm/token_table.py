@@ -29,7 +29,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DOCUMENTS_PER_FILE = 50_000
 ROWS_AT_ONCE = 500
-CACHED_PIECES = 1_200_000
+CACHED_BYTES = 256 << 20  # of pieces met so far, in each Python worker
 
 
 @lru_cache(2)
@@ -42,7 +42,7 @@ def _library(path: str):
     sizes = np.zeros(max([*library.get_vocab().values()], default=-1) + 1, np.int64)
     for token, i in library.get_vocab().items():
         sizes[i] = len(added[i].encode()) if i in added else len(token)
-    return library, sizes, Seen(CACHED_PIECES)
+    return library, sizes, Seen(CACHED_BYTES)
 
 
 def library_ids(texts: list[str | None], tokenizer: str, end_id: int | None) -> list[bytes]:
