@@ -483,14 +483,15 @@ def _(i):
 @check(
     "w8_nearest_vertex_of_buildings",
     WALKS_SQL % VERTEX_SEEDS
-    + """SELECT building_id, dist_m FROM (
-  SELECT lk.obj_id AS building_id, CAST(FLOOR(MIN(reach.d) + lk.access_m + 0.5) AS BIGINT) AS dist_m
-  FROM reach JOIN lk ON lk.qx = reach.x AND lk.qy = reach.y WHERE lk.kind = 'b' GROUP BY lk.obj_id, lk.access_m) z""",
+    + """SELECT building_id, x, y, dist_m FROM (
+  SELECT lk.obj_id AS building_id, reach.sx AS x, reach.sy AS y, CAST(FLOOR(reach.d + lk.access_m + 0.5) AS BIGINT) AS dist_m,
+         ROW_NUMBER() OVER (PARTITION BY lk.obj_id ORDER BY reach.d, reach.sx, reach.sy) AS rn
+  FROM reach JOIN lk ON lk.qx = reach.x AND lk.qy = reach.y WHERE lk.kind = 'b') z WHERE rn = 1""",
 )
 def _(i):
     attached, edges = walk_inputs(i)
     reach = WK.vertex_reach(WK.build_original_graph(i.roads), edges, PATH)
-    return WK.nearest_vertex_of_buildings(reach, attached).select("building_id", "dist_m")
+    return WK.nearest_vertex_of_buildings(reach, attached).select("building_id", "vertex.x", "vertex.y", "dist_m")
 
 
 @check(
@@ -673,11 +674,13 @@ def _(i):
     "c8_car_cumulative",
     CAR_SQL
     + f"""SELECT s.src AS star, n.bin AS bin, n.bin * 100 AS bound_s, 1 + COUNT(o.building) AS nbldg, CAST(MIN(a.jobs) + COALESCE(SUM(h.jobs), 0) AS BIGINT) AS jobs
-FROM (SELECT DISTINCT src FROM best) s JOIN (VALUES {CAR_BINS}) n(bin) ON TRUE JOIN {{buildings}} a ON a.aid = s.src
+FROM (SELECT aid AS src FROM {{buildings}}) s JOIN (VALUES {CAR_BINS}) n(bin) ON TRUE JOIN {{buildings}} a ON a.aid = s.src
 LEFT JOIN best o ON o.src = s.src AND o.building <> s.src AND o.dur <= n.bin * 100 LEFT JOIN {{buildings}} h ON h.aid = o.building GROUP BY s.src, n.bin""",
 )
 def _(i):
-    return C.car_cumulative(car_pairs(i), 100, LIMITS.max_time, i.buildings, ["jobs"])
+    # every building is a source, also where no vertex is near
+    sources = i.buildings.select(F.col("aid").alias("star"))
+    return C.car_cumulative(car_pairs(i), 100, LIMITS.max_time, i.buildings, ["jobs"], sources)
 
 
 @check("c9_is_walk_trip", CAR_SQL + "SELECT veh AS veh_legs, COUNT(*) AS pairs FROM best GROUP BY veh")
