@@ -16,6 +16,12 @@ from .registry import check
 MONDAY = 20240205
 
 
+def _text(*columns):
+    return "CONCAT_WS('|', " + ", ".join(f"CAST({c} AS STRING)" for c in columns) + ")"
+
+
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
 def write_feed(i: Inputs) -> str:
     """The derived feed as GTFS text files in the scratch folder."""
     folder = Scratch(i.spark, "feed").root
@@ -118,16 +124,25 @@ def _(i):
 
 @check(
     "s8_write_gtfs",
-    """SELECT 'trips' AS file, trip_id AS id, route_id AS parent FROM {trips} WHERE trip_id IN (SELECT trip_id FROM {stop_times})
-UNION ALL SELECT 'routes', route_id, agency_id FROM {routes} WHERE route_id IN (SELECT route_id FROM {trips})
-UNION ALL SELECT 'stops', stop_id, NULL FROM {stops}""",
+    f"""SELECT 'trips' AS file, {_text("trip_id", "route_id", "service_id", "shape_id")} AS line FROM {{trips}} WHERE trip_id IN (SELECT trip_id FROM {{stop_times}})
+UNION ALL SELECT 'routes', {_text("route_id", "agency_id", "route_short_name", "route_type")} FROM {{routes}} WHERE route_id IN (SELECT route_id FROM {{trips}})
+UNION ALL SELECT 'stops', stop_id FROM {{stops}}
+UNION ALL SELECT 'stop_times', {_text("trip_id", "stop_sequence", "stop_id", "arrival_time")} FROM {{stop_times_txt}}
+UNION ALL SELECT 'calendar', {_text("service_id", *DAYS, "start_date", "end_date")} FROM {{calendar}}
+UNION ALL SELECT 'calendar_dates', {_text("service_id", "date", "exception_type")} FROM {{calendar_dates}}""",
 )
 def _(i):
-    feed = gtfs.read_gtfs(i.spark, write_feed(i))
-    trips = feed["trips"].select(F.lit("trips").alias("file"), F.col("trip_id").alias("id"), F.col("route_id").alias("parent"))
-    routes = feed["routes"].select(F.lit("routes"), "route_id", "agency_id")
-    stops = i.spark.read.csv(write_feed(i) + "/stops.txt", header=True).select(F.lit("stops"), "stop_id", F.lit(None).cast("string"))
-    return trips.unionAll(routes).unionAll(stops)
+    folder = write_feed(i)
+
+    def lines(name, *columns):
+        rows = i.spark.read.csv(f"{folder}/{name}.txt", header=True)
+        return rows.select(F.lit(name).alias("file"), F.concat_ws("|", *columns).alias("line"))
+
+    out = lines("trips", "trip_id", "route_id", "service_id", "shape_id")
+    out = out.unionAll(lines("routes", "route_id", "agency_id", "route_short_name", "route_type")).unionAll(lines("stops", "stop_id"))
+    out = out.unionAll(lines("stop_times", "trip_id", "stop_sequence", "stop_id", "arrival_time"))
+    out = out.unionAll(lines("calendar", "service_id", *DAYS, "start_date", "end_date"))
+    return out.unionAll(lines("calendar_dates", "service_id", "date", "exception_type"))
 
 
 LOG_LINES_SQL = """
@@ -369,14 +384,15 @@ def feed_tables(i):
     }
 
 
+# whole rows as text
 FEED_KEYS = {
-    "routes": "route_id",
-    "trips": "trip_id",
-    "stop_times": "CONCAT(trip_id, '/', CAST(stop_sequence AS STRING))",
-    "stops": "stop_id",
-    "calendar": "service_id",
-    "calendar_dates": "service_id",
-    "shapes": "CONCAT(shape_id, '/', CAST(shape_pt_sequence AS STRING))",
+    "routes": _text("route_id", "route_short_name", "route_long_name", "route_desc", "agency_id"),
+    "trips": _text("trip_id", "route_id", "service_id", "shape_id", "trip_headsign", "direction_id"),
+    "stop_times": _text("trip_id", "stop_sequence", "stop_id", "t"),
+    "stops": _text("stop_id", "x", "y", "stop_lon"),
+    "calendar": _text("service_id", *DAYS, "start_date", "end_date"),
+    "calendar_dates": _text("service_id", "date", "exception_type"),
+    "shapes": _text("shape_id", "shape_pt_sequence", "x", "y"),
 }
 
 
@@ -445,14 +461,17 @@ OTHER_STOP = "CASE WHEN CAST(stop_id AS BIGINT) % 2 = 0 THEN stop_id ELSE CONCAT
 
 
 def _add_sql():
+    times = f"trip_id IN (SELECT trip_id FROM ({ADDED_TRIPS_SQL}) a)"
+    x = ", ".join(f"CONCAT('x', {c}) AS {c}" for c in ("route_id", "trip_id", "service_id", "shape_id"))
     extra = {
-        "routes": f"SELECT CONCAT('x', route_id) AS route_id FROM {{routes}} WHERE route_id IN ({ADDED_SQL})",
-        "trips": f"SELECT CONCAT('x', trip_id) AS trip_id FROM ({ADDED_TRIPS_SQL}) a",
-        "stop_times": f"SELECT CONCAT('x', trip_id) AS trip_id, stop_sequence FROM {{stop_times}} WHERE trip_id IN (SELECT trip_id FROM ({ADDED_TRIPS_SQL}) a)",
-        "stops": f"""SELECT DISTINCT {OTHER_STOP} AS stop_id FROM {{stop_times}} WHERE trip_id IN (SELECT trip_id FROM ({ADDED_TRIPS_SQL}) a)
+        "routes": f"SELECT CONCAT('x', route_id) AS route_id, route_short_name, route_long_name, route_desc, agency_id FROM {{routes}} WHERE route_id IN ({ADDED_SQL})",
+        "trips": f"SELECT {x}, trip_headsign, direction_id FROM ({ADDED_TRIPS_SQL}) a",
+        "stop_times": f"SELECT CONCAT('x', trip_id) AS trip_id, stop_sequence, {OTHER_STOP} AS stop_id, t FROM {{stop_times}} WHERE {times}",
+        "stops": f"""SELECT {OTHER_STOP} AS stop_id, x, y, stop_lon FROM {{stops}} WHERE stop_id IN (SELECT stop_id FROM {{stop_times}} WHERE {times})
                      AND {OTHER_STOP} NOT IN (SELECT stop_id FROM {{stops}})""",
-        "calendar": f"SELECT DISTINCT CONCAT('x', service_id) AS service_id FROM ({ADDED_TRIPS_SQL}) a",
-        "shapes": f"SELECT CONCAT('x', shape_id) AS shape_id, shape_pt_sequence FROM {{shapes}} WHERE shape_id IN (SELECT shape_id FROM ({ADDED_TRIPS_SQL}) a)",
+        "calendar": f"""SELECT DISTINCT CONCAT('x', service_id) AS service_id, {", ".join(f"1 AS {d}" for d in DAYS)},
+                     20240101 AS start_date, 20241231 AS end_date FROM ({ADDED_TRIPS_SQL}) a""",
+        "shapes": f"SELECT CONCAT('x', shape_id) AS shape_id, shape_pt_sequence, x, y FROM {{shapes}} WHERE shape_id IN (SELECT shape_id FROM ({ADDED_TRIPS_SQL}) a)",
     }
     parts = []
     for n, k in FEED_KEYS.items():

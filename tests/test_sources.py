@@ -244,6 +244,33 @@ def test_the_first_row_of_a_repeated_id_stays(spark):
     assert sorted(map(tuple, rows)) == [("a", "first"), ("b", "one"), ("c", "first")]
 
 
+def test_the_first_row_is_that_of_the_files(spark, tmp_path):
+    """Two files, the first by name small; and a semi join that shuffles the rows."""
+    (tmp_path / "shapes.txt").mkdir()
+    header = "shape_id,shape_pt_sequence,shape_pt_lat,shape_pt_lon\n"
+    (tmp_path / "shapes.txt" / "a.csv").write_text(header + "".join(f"s{k},1,0.{k:04d},1\n" for k in range(200)))
+    (tmp_path / "shapes.txt" / "b.csv").write_text(header + "".join(f"s{k},1,5.{k:04d},{n}\n" for n in range(30) for k in range(1000)))
+    (tmp_path / "stops.txt").write_text("stop_id\n1\n")
+    (tmp_path / "stop_times.txt").write_text("trip_id,stop_id,stop_sequence\nt0,1,1\n")
+    (tmp_path / "trips.txt").write_text("route_id,trip_id,service_id,shape_id\n" + "".join(f"r{k % 2},t{k},wk,s{k}\n" for k in range(1000)))
+    (tmp_path / "routes.txt").write_text("route_id\nr0\nr1\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        feed = gtfs.read_gtfs(spark, str(tmp_path), ordered=True)
+        kept, removed = gtfs_clean.delete_routes(feed, feed["routes"].filter("route_id = 'r1'").select("route_id"))
+        rows = {r.shape_id: (r.shape_pt_lat, r.shape_pt_lon) for side in (kept, removed) for r in side["shapes"].collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 1000
+    for k in range(1000):
+        lat, lon = map(float, rows[f"s{k}"])
+        assert (lat, lon) == ((float(f"0.{k:04d}"), 1) if k < 200 else (float(f"5.{k:04d}"), 0))
+    out = tmp_path / "out"
+    gtfs.write_gtfs(kept, str(out))
+    assert gtfs.ORDER not in spark.read.csv(f"{out}/shapes.txt", header=True).columns
+
+
 def test_a_feed_without_services_is_refused():
     with pytest.raises(ValueError, match="calendar"):
         gtfs_clean.services_on_date(None, None, 20240205)

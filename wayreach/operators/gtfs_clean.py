@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.ordered import MAX_ROWS_PER_GROUP, OrderedGroups, number_rows
-from ..sources.gtfs import fix_ids
+from ..sources.gtfs import ORDER, fix_ids
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 DAY_S = 86400
@@ -313,8 +313,11 @@ def delete_routes(
 
 
 def first_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The first row of each key in the order of the table (of its files, if it was read from files)."""
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    """The first row of each key: by the place in the files if the rows carry it (``read_gtfs(ordered=True)``).
+
+    Rows of derived tables have no place; for them it is the order in which Spark holds them.
+    """
+    numbered = df.withColumn("__row", F.col(ORDER) if ORDER in df.columns else F.monotonically_increasing_id())
     first = numbered.groupBy(*key).agg(F.min_by(F.struct(*df.columns), "__row").alias("first"))
     return first.select("first.*")
 

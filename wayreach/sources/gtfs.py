@@ -109,10 +109,23 @@ def fix_ids(df: DataFrame) -> DataFrame:
     return df.withColumns({c: X.strip_point_zero(c) for c in POINT_ZERO_COLUMNS if c in df.columns})
 
 
-def read_gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+ORDER = "__order"
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """``df``, just read from files, with ``ORDER``: file, place of the part of it, and row.
+
+    Taken at the scan, so that it still tells the first row after joins and shuffles, and
+    however files are packed into tasks.
+    """
+    return df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias(ORDER))
+
+
+def read_gtfs(spark: SparkSession, folder: str, ordered: bool = False) -> dict[str, DataFrame]:
     """All files of a feed with pinned types; stops never used are dropped.
 
-    Optional files that are absent are simply not in the result.
+    Optional files that are absent are simply not in the result. With ``ordered`` the tables
+    carry the place of their rows, which decides where the first row of an id is to stay.
     """
     feed = {}
     for name in FEED_FILES:
@@ -124,6 +137,8 @@ def read_gtfs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             [T.StructField(n, TYPED_COLUMNS.get(n, T.StringType())) for n in names]
         )
         feed[name] = spark.read.schema(schema).csv(path, header=True, enforceSchema=True)
+        if ordered:
+            feed[name] = in_file_order(feed[name])
     feed["stops"] = used_stops(feed["stops"], feed["stop_times"])
     return feed
 
@@ -185,4 +200,4 @@ def cascade(feed: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def write_gtfs(feed: dict[str, DataFrame], folder: str) -> None:
     """Write each table as ``<folder>/<name>.txt`` (a folder of CSV parts with headers)."""
     for name, df in cascade(feed).items():
-        df.write.mode("overwrite").csv(f"{folder}/{name}.txt", header=True)
+        df.drop(ORDER).write.mode("overwrite").csv(f"{folder}/{name}.txt", header=True)
