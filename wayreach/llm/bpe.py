@@ -49,6 +49,20 @@ def cut(text: str) -> tuple[list[str], list[str]]:
     return [text] if CONTROL.search(text) else _BEFORE_WORD.split(text), []
 
 
+_RUN = re.compile(r"\s\s|[\x1c-\x1f]")
+_LINE_FEED = re.compile("(\n)")
+
+
+def lines(piece: str) -> list[str]:
+    """``piece`` cut around its line feeds, which no token spans where no other white space is next to them.
+
+    Words at the ends of lines are common, but pieces of two of them are not.
+    """
+    if "\n" not in piece or _RUN.search(piece):
+        return [piece]
+    return [part for part in _LINE_FEED.split(piece) if part]
+
+
 class Seen:
     """Ids of short pieces met so far, until the tables are full; frequent pieces come early."""
 
@@ -207,10 +221,16 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         found, missing = self.seen.find(text)
         for k, piece in missing:
-            found[k] = self.piece_ids(piece)
-            self.seen.keep(piece, found[k])
+            found[k] = b"".join(map(self.known_ids, lines(piece)))
         return b"".join(found)
 
+    def known_ids(self, piece: str) -> bytes:
+        ids = self.seen.get(piece)
+        if ids is None:
+            ids = self.piece_ids(piece)
+            self.seen.keep(piece, ids)
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids[(ids >= 0) & (ids < len(self.begin) - 1)]
         first = self.begin[ids]

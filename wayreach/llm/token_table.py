@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayreach.llm.bpe import CONTROL, Seen, id_lists
+from wayreach.llm.bpe import CONTROL, Seen, id_lists, lines
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -49,26 +49,33 @@ def library_ids(texts: list[str | None], tokenizer: str, end_id: int | None) ->
     """Ids of each text by the tokenizers library, packed; a piece that comes again is not encoded again."""
     library, sizes, seen = _library(tokenizer)
     rows = [seen.find(x or "") for x in texts]
-    new: dict[str, bytes | None] = {piece: None for _, missing in rows for _, piece in missing}
-    # pieces that begin with a space do not touch their neighbours and go as one text;
-    # the bytes of the tokens tell where each piece ends
-    joined = [p for p in new if p[:1] == " " and p[1:2].strip() and not CONTROL.search(p)]
-    for k in range(0, len(joined), 20_000):
-        part = joined[k : k + 20_000]
-        ids = np.array(library.encode("".join(part), add_special_tokens=False).ids, np.int32)
-        ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
-        packed, at = ids.tobytes(), 0
-        for piece, end in zip(part, (4 * ends).tolist(), strict=True):
-            new[piece] = packed[at:end]
-            at = end
-    for piece, ids in new.items():
-        if ids is None:
+    cut = [[(k, lines(piece)) for k, piece in missing] for _, missing in rows]
+    parts = {part for missing in cut for _, pieces in missing for part in pieces}
+    new: dict[str, bytes | None] = {part: seen.get(part) for part in parts}
+    unknown = [part for part, ids in new.items() if ids is None]
+    # pieces that begin with a space do not touch their neighbours, nor do pieces between line
+    # feeds; they go as one text, and the bytes of the tokens tell where each piece ends
+    plain = [p for p in unknown if not CONTROL.search(p) and p.strip()]
+    spaced = [p for p in plain if p[:1] == " " and p[1:2].strip()]
+    others = [p for p in plain if p[:1].strip() and p[-1:].strip()]
+    for pieces, between in ((spaced, ""), (others, "\n")):
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            ids = np.array(library.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.int32)
+            bytes_before = np.cumsum([len(p.encode()) + len(between) for p in part]) - len(between)
+            ends = np.searchsorted(np.cumsum(sizes[ids]), bytes_before) + 1
+            packed, at = ids.tobytes(), 0
+            for piece, end in zip(part, (4 * ends).tolist(), strict=True):
+                new[piece] = packed[at:end]
+                at = end + 4 * len(between)
+    for piece in unknown:
+        if new[piece] is None:
             new[piece] = np.array(library.encode(piece, add_special_tokens=False).ids, np.int32).tobytes()
         seen.keep(piece, new[piece])
     end = b"" if end_id is None else np.array([end_id], np.int32).tobytes()
-    for found, missing in rows:
-        for k, piece in missing:
-            found[k] = new[piece]
+    for (found, _), missing in zip(rows, cut, strict=True):
+        for k, pieces in missing:
+            found[k] = b"".join([new[part] for part in pieces])
         found.append(end)
     return [b"".join(found) for found, _ in rows]
 
