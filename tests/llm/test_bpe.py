@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wayreach.llm import bpe, queries, token_table
+from wayreach.llm import bpe, columns, queries, token_table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -82,3 +82,14 @@ def test_empty_tables(spark, folder, tmp_path):
     token_table.write(none, str(tmp_path / "t"), PATH)
     assert token_table.read(spark, str(tmp_path / "t")).count() == 0
     assert none.select(bpe.encode(F.col("text"), PATH)).count() == 0
+
+
+def test_rows_in_slices(spark, monkeypatch):
+    """The form for long jobs, with slices of a few rows and texts cut at every kind of line end."""
+    monkeypatch.setattr(bpe, "slices", lambda bounds: columns.slices(bounds, 200))
+    texts = ["one\ntwo", "one\n\ntwo", "one\n two", "one \ntwo", "one\r\ntwo\x1c\nthree", "\none\n", None, "", "a\n'll\nb", "word " * 30_000 + "\nend\n" * 3, "é\nü\u0085\nx"] * 3
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    rows = {r.id: r for r in bpe.tokens(frame, PATH, "id", "body").collect()}
+    for k, text in enumerate(texts):
+        expected = LIBRARY.encode(text or "", add_special_tokens=False).ids
+        assert (rows[k].ids, rows[k].n_tokens, rows[k].exact) == (expected, len(expected), True)

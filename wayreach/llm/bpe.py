@@ -15,15 +15,19 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayreach.llm.columns import slices
+
 # Fixed value: the pattern that splits text for byte-level BPE
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -292,3 +296,31 @@ def round_trip(text: Column, tokenizer: str) -> Column:
         return pa.StructArray.from_arrays([id_lists(packed), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     return both(text)
+
+
+def tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids, exact (whether decoding gives the text back); null text counts as empty.
+
+    For long jobs of many steps: texts are handed on in slices of bounded bytes, and the
+    tables are given back at the end of each task.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(tokenizer)
+        try:
+            for batch in batches:
+                bounds = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)))
+                for a, b in slices(bounds):
+                    part = batch.slice(a, b - a)
+                    texts = part.column("text").to_pylist()
+                    packed = [v.encode(x) for x in texts]
+                    exact = [v.decode(np.frombuffer(ids, np.int32)) == x.encode() for ids, x in zip(packed, texts, strict=True)]
+                    ids = id_lists(packed)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), ids, pa.array(exact)], names=["id", "n_tokens", "ids", "exact"])
+        finally:
+            vocabulary.cache_clear()
+            pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, exact boolean").withColumnRenamed("id", id_col)
