@@ -74,10 +74,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids; kept only if decoding gives the text back, which it always does."""
-    path = public_tokenizers.path(BYTE_BPE)
-    text = F.coalesce("text", F.lit(""))
-    checked = docs.select("doc_id", text.alias("text"), bpe.round_trip(text, path).alias("b")).where("b.decoded = text")
-    return checked.select("doc_id", F.size("b.ids").cast("long").alias("n_tokens"), F.col("b.ids").alias("ids"))
+    return bpe.tokens(docs, public_tokenizers.path(BYTE_BPE)).where("exact").select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
