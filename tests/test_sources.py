@@ -176,8 +176,15 @@ def test_compare_values(spark):
 
 def test_quantiles_and_classes(spark):
     df = spark.createDataFrame([(float(v),) for v in range(10)] + [(None,)], "v double")
-    got = [(r["low"], r["high"]) for r in compare.quantile_classes(df, "v", 4, max_rows=3).collect()]
+    got = [(r["low"], r["high"]) for r in compare.quantile_classes(df, "v", 4).collect()]
     assert got == [(0.0, 2.0), (2.0, 5.0), (5.0, 8.0), (8.0, 9.0)]
+    # repeated values, more classes than values, and nothing at all
+    for values, classes in (([3.0] * 40 + [1.0, 2.0, 9.0] * 5 + [4.0], 7), ([5.0, 1.0], 5), ([7.0], 3), ([], 3)):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        rows = sorted((r["class"], r["low"], r["high"]) for r in compare.quantile_classes(frame, "v", classes).collect())
+        ordered, n = sorted(values), len(values)
+        limits = [ordered[min(n - 1, round(k * (n / classes)))] for k in range(classes + 1)] if n else []
+        assert rows == [(k + 1, limits[k], limits[k + 1]) for k in range(classes if n else 0)]
     limits = spark.createDataFrame([(v,) for v in (-601, -600, -60, 0, 60, 61, 900)], "v int")
     assert [r[0] for r in limits.select(compare.difference_class("v")).collect()] == [0, 0, 2, 3, 3, 4, 6]
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.ordered import MAX_ROWS_PER_GROUP, number_rows
+from ..functions.ordered import number_rows
+from ..functions.scratch import Scratch
 
 MISSING = "---"
 
@@ -169,21 +170,32 @@ def compare_params(params1: DataFrame, params2: DataFrame) -> DataFrame:
 # -- classes --------------------------------------------------------------------------------
 
 
-def quantile_classes(
-    values: DataFrame, column: str, classes: int = 7, max_rows: int = MAX_ROWS_PER_GROUP
-) -> DataFrame:
-    """(class, low, high): limits are the sorted values at positions round(i * n / classes)."""
+def quantile_classes(values: DataFrame, column: str, classes: int = 7) -> DataFrame:
+    """(class, low, high): limits are the sorted values at positions round(i * n / classes).
+
+    Equal values are counted first, and the different ones dealt into ranges. The rows of
+    each range tell which ranges hold a wanted position; only these are sorted. Nothing but
+    the ranges' sizes is ever in one task, and no value leaves the cluster.
+    """
+    spark, scratch = values.sparkSession, Scratch(values.sparkSession, "quantiles")
     kept = values.select(F.col(column).try_cast("double").alias("v")).filter("v IS NOT NULL")
-    n = kept.count()
-    spark = values.sparkSession
-    if n == 0:
-        return spark.createDataFrame([], "class int, low double, high double")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = kept.groupBy("v").agg(F.count("*").alias("n")).repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id())
+    counted = scratch.keep(counted, "counted")
+    sizes = counted.groupBy("part").agg(F.sum("n").alias("n"))
+    order = Window.orderBy("part")
+    sizes = sizes.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    wanted = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(classes))))
     # half to even, as positions are rounded in the classification
-    wanted = [min(n - 1, round(i * (n / classes))) + 1 for i in range(classes + 1)]
-    ranked = number_rows(kept, [], [F.col("v")], "rn", max_rows).filter(F.col("rn").isin(sorted(set(wanted))))
-    at = {r["rn"]: r["v"] for r in ranked.collect()}
-    rows = [(i + 1, at[wanted[i]], at[wanted[i + 1]]) for i in range(classes)]
-    return spark.createDataFrame(rows, "class int, low double, high double")
+    place = F.least(F.col("total") - 1, F.bround(F.col("i") * (F.col("total") / classes)).cast("long")) + 1
+    wanted = wanted.withColumn("at", place - F.col("upto") + F.col("n")).filter((F.col("at") > 0) & (F.col("at") <= F.col("n")))
+    wanted = scratch.keep(wanted.select("part", "i", "at"), "wanted")
+    held = counted.join(F.broadcast(wanted.select("part").distinct()), "part")  # as many rows as limits at most
+    running = held.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    limits = running.join(F.broadcast(wanted), "part").filter((F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("n")))
+    by_limit = Window.orderBy("i")
+    out = limits.select((F.col("i") + 1).cast("int").alias("class"), F.col("v").alias("low"), F.lead("v").over(by_limit).alias("high"))
+    return out.filter(F.col("class") <= classes)
 
 
 def equal_classes(values: DataFrame, column: str, classes: int = 10) -> DataFrame:
