@@ -192,10 +192,14 @@ def _(i):
     return label_rows(walked(i, 2))
 
 
-@check("p10_walks_reverse", labels_sql(LIMITS, True) + f"SELECT 1 AS k, {LABEL_COLUMNS} FROM w1 UNION ALL SELECT 2, {LABEL_COLUMNS} FROM w2")
+@check("p10_walks_reverse", labels_sql(LIMITS, True, rounds=1) + f"SELECT {LABEL_COLUMNS} FROM w1")
 def _(i):
-    labels = rounds(i, LIMITS, True).filter("walk_s IS NOT NULL AND k > 0")
-    return labels.select("k", *LABEL_COLUMNS.split(", "))
+    return label_rows(rounds(i, LIMITS, True).filter("walk_s IS NOT NULL AND k = 1"))
+
+
+@check("p10_last_walks_reverse", labels_sql(LIMITS, True) + f"SELECT {LABEL_COLUMNS} FROM w2")
+def _(i):
+    return label_rows(rounds(i, LIMITS, True).filter("walk_s IS NOT NULL AND k = 2"))
 
 
 # -- journeys ----------------------------------------------------------------------------
