@@ -190,7 +190,7 @@ class Search:
         )
 
     def ride(self, labels: DataFrame, k: int) -> DataFrame:
-        """(src, wave, place, p...): where one ride leads from the stops of ``labels``."""
+        """(src, wave, place, p...): where one ride leads from the stops of ``labels``, in round ``k``."""
         rides, width = self.connections[0 if k == 1 else 1]
         first = self.departures[0]
         no_wait = self.limits.schedule and k == 1
@@ -331,7 +331,7 @@ class Search:
 
     # -- labels -------------------------------------------------------------------------
 
-    def _unpacked(self, rows: DataFrame, only: Column | None = None) -> DataFrame:
+    def _unpacked(self, rows: DataFrame) -> DataFrame:
         """(src, dep, place, t, start, stop, walked): a row for each slot that has a way."""
         slots = [
             F.when(F.col(c).isNotNull(), F.struct(self.departure(i).alias("dep"), F.col(c).alias("p"), (F.shiftright(F.col("walked"), i).bitwiseAND(1) == 1 if "walked" in rows.columns else F.lit(False)).alias("walked")))

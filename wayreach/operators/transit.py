@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +27,6 @@ CHANGE_S = 1
 SCAN_STEP_S = 300
 SCHEDULE_FIRST_WAIT_S = 600
 
-LABEL = ["src", "dep", "k", "place", "kind", "t", "start", "walk_s", "prev", "board_t", "trip"]
-
 
 @dataclasses.dataclass(frozen=True)
 class Limits:
@@ -205,59 +202,6 @@ def ride_round(
     )
 
 
-def _walk_on(rides: DataFrame, footpaths: DataFrame, allowed: Column, horizon: int) -> DataFrame:
-    # rides end at stops; a building may bear the same number
-    steps = footpaths.filter((F.col("from_kind") == "s") & allowed).select(
-        F.col("from_id").alias("place"), F.col("to_id").alias("__to"), F.col("to_kind").alias("__kind"), F.col("walk_s").alias("__w")
-    )
-    walked = rides.join(steps, "place").filter(
-        F.col("t") + F.col("__w") <= F.col("dep") + horizon
-    )
-    best = F.min(
-        F.struct(
-            (F.col("t") + F.col("__w")).alias("t"), (-F.col("start")).alias("ns"), F.col("place").alias("prev"), F.col("__w").alias("walk_s")
-        )
-    )
-    return (
-        walked.groupBy("src", "dep", "k", F.col("__to").alias("place"), F.col("__kind").alias("kind"))
-        .agg(best.alias("b"))
-        .select(
-            "src",
-            "dep",
-            "k",
-            "place",
-            "kind",
-            "b.t",
-            (-F.col("b.ns")).alias("start"),
-            "b.walk_s",
-            "b.prev",
-            F.lit(None).cast("long").alias("board_t"),
-            F.lit(None).cast("string").alias("trip"),
-        )
-    )
-
-
-def transfer_walk(
-    rides: DataFrame, footpaths: DataFrame, walk2: int, walk3: int, horizon: int
-) -> DataFrame:
-    """Walk labels after a ride that may be followed by another.
-
-    To stops within ``walk2`` and to buildings within ``walk2`` or ``walk3``; a stop
-    already reached by a ride in this round keeps the ride.
-    """
-    building = F.col("to_kind") == "b"
-    allowed = (F.col("walk_s") <= walk2) | (building & (F.col("walk_s") <= walk3))
-    walked = _walk_on(rides, footpaths, allowed, horizon)
-    ridden = rides.select("src", "dep", "place", "kind")
-    return walked.join(ridden, ["src", "dep", "place", "kind"], "left_anti").select(*LABEL)
-
-
-def egress_walk(rides: DataFrame, footpaths: DataFrame, walk3: int, horizon: int) -> DataFrame:
-    """Walk labels after the last ride: only to buildings."""
-    allowed = (F.col("to_kind") == "b") & (F.col("walk_s") <= walk3)
-    return _walk_on(rides, footpaths, allowed, horizon).select(*LABEL)
-
-
 # -- all rounds ----------------------------------------------------------------------
 
 
@@ -335,15 +279,6 @@ def schedule_starts(start: int, gap: int, backward: bool = False) -> list[int]:
     return [start + (-1 if backward else 1) * i * SCAN_STEP_S for i in range(steps)]
 
 
-def schedule_scan(journeys: DataFrame) -> DataFrame:
-    """Over all start times keep the shortest journey per (src, place, kind); the first tried wins ties."""
-    # forwards the first start is the smallest dep; mirrored, the latest arrival is too
-    rest = [c for c in journeys.columns if c not in ("src", "place", "kind", "duration", "dep")]
-    best = F.min(F.struct("duration", "dep", *rest)).alias("b")
-    out = journeys.groupBy("src", "place", "kind").agg(best)
-    return out.select("src", "place", "kind", "b.*")
-
-
 def search(
     sources: DataFrame,
     events: DataFrame,
