@@ -45,3 +45,8 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert BUILDS.keys() == SQL.keys() and BUILDS.keys() <= entry.queries().keys()
+
+
+def test_walks_reverse_has_both_rounds(inputs):
+    rounds = BUILDS["p10_walks_reverse"](inputs).groupBy("k").count().collect()
+    assert {r["k"] for r in rounds if r["count"]} == {1, 2}
