@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wayreach.functions import expr as X
 from wayreach.functions.scratch import Scratch
+from wayreach.functions.skew import merge_join
 from wayreach.operators import near, timetable
 from wayreach.sources import tables
 
@@ -223,6 +224,11 @@ class Inputs:
 
     # -- views whose joins the library does itself --------------------------------
 
+    def make_stop_times(self) -> DataFrame:
+        trips = self.trips.select("trip_id", "route_id", "service_id", "dep0")
+        times = merge_join(trips, self.pattern, "route_id").withColumn("t", F.col("dep0") + F.col("t_off"))
+        return times.select("trip_id", "route_id", "service_id", "stop_sequence", "stop_id", "t")
+
     def make_footpaths(self) -> DataFrame:
         stops = self.stops.select("stop_id", "x", "y")
         places = stops.select(F.col("stop_id").alias("to_id"), F.lit("s").alias("to_kind"), "x", "y").unionAll(
@@ -240,7 +246,7 @@ class Inputs:
 
     def make_near_buildings(self) -> DataFrame:
         ids = self.buildings.select(F.col("aid").cast("string").alias("place"), "x", "y")
-        own = ids.join(self.sources, F.col("place") == F.col("src")).select("src", "x", "y")
+        own = merge_join(ids, self.sources, F.col("place") == F.col("src")).select("src", "x", "y")
         near_by = near.within_distance(own, ids, 400.5)
         return near_by.select("src", "place", X.half_up("d").alias("walk_s")).filter("walk_s <= 400")
 

@@ -5,8 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from checks.derived import Inputs
 from wayreach.functions import skew
-from wayreach.operators import profile
+from wayreach.operators import gtfs_clean, profile
 from wayreach.operators import transit as P
 
 
@@ -69,3 +70,53 @@ def test_more_start_times_than_one_row_holds(spark, monkeypatch):
     monkeypatch.setattr(profile, "SLOTS", 3)
     parts = {(r.src, r.place, r.run): (r.duration, r.transfers) for r in P.transit_runs(*net.frames(spark), times, limits).collect()}
     assert whole == parts and len(whole) > 20
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_join_builds_no_side_on_the_driver(spark):
+    left = spark.range(100).selectExpr("id % 7 AS k", "id AS src")
+    right = spark.range(7).selectExpr("id AS k", "id * 10 AS v")
+    joined = skew.spread_join(left, right, ["k"], "src")
+    # what is broadcast are the heavy keys, for each side once
+    assert "SortMergeJoin" in plan_of(joined) and plan_of(joined).count("BroadcastHashJoin") <= 2
+    assert joined.count() == 100
+
+
+def test_frequencies_are_joined_without_broadcasts(spark):
+    trips = spark.createDataFrame([("a", "r"), ("b", "r")], "trip_id string, route_id string")
+    times = spark.createDataFrame([("a", 1, "s", 100), ("a", 2, "u", 160), ("b", 1, "s", 5)], "trip_id string, stop_sequence int, stop_id string, t long")
+    runs = spark.createDataFrame([("a", 1000, 1200, 100)], "trip_id string, start_s int, end_s int, headway_secs int")
+    new_trips, new_times = gtfs_clean.expand_frequencies(trips, times, runs)
+    assert "Broadcast" not in plan_of(new_trips) and "Broadcast" not in plan_of(new_times)
+    found = {(r["trip_id"], r["stop_id"], r["t"]) for r in new_times.collect()}
+    assert found == {("a", "s", 100), ("a", "u", 160), ("b", "s", 5), ("a_f1000", "s", 1000), ("a_f1000", "u", 1060), ("a_f1100", "s", 1100), ("a_f1100", "u", 1160)}
+
+
+def test_stop_times_are_joined_without_broadcasts(spark, tmp_path):
+    spark.range(5).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    parts = "id AS p_partkey, 'b' AS p_brand, 'n' AS p_name, 't' AS p_type"
+    spark.range(6).selectExpr(*parts.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
+    orders = "id AS o_orderkey, 'F' AS o_orderstatus, '1' AS o_orderpriority"
+    spark.range(9).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    times = Inputs(spark, str(tmp_path)).stop_times
+    assert "BroadcastHashJoin" not in plan_of(times)
+    rows = times.collect()
+    # trip n is of route n % 6, which has 4 + route % 4 stops
+    assert Counter(r["trip_id"] for r in rows) == {str(n): 4 + n % 6 % 4 for n in range(9)}
+    assert {r["t"] for r in rows if r["stop_sequence"] == 1} == {18000 + n * 97 for n in range(9)}
+
+
+def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
+    shape = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
+    labels = spark.createDataFrame(
+        [("A", 0, 0, "s1", "s", 10, 0, 10, "A", None, None), ("A", 0, 1, "s2", "s", 90, 0, None, "s1", 30, "r_t")], shape
+    )
+    journeys = spark.createDataFrame([("A", 0, 1, f"B{i}", "s2", 5 + i) for i in range(50)] + [("A", 0, 0, "C", "A", 7)], "src string, dep long, k int, place string, prev string, walk_s long")
+    df = P.unroll_journey(journeys, labels, 1)
+    rows = {tuple(r) for r in df.select("place", "k", "walk_s", "r1_board", "r1_board_t", "r1_alight", "r1_alight_t", "r1_trip", "w1").collect()}
+    assert rows == {(f"B{i}", 1, 5 + i, "s1", 30, "s2", 90, "r_t", 10) for i in range(50)} | {("C", 0, 7, None, None, None, None, None, None)}
+    # the ways are looked up for distinct ends, to which the journeys are joined last
+    assert "Deduplicate" in df._jdf.queryExecution().analyzed().toString()

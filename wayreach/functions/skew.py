@@ -23,6 +23,15 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int | None = None
     return counts.where(F.col("n") > bound).select(*keys, F.ceil(F.col("n") / bound).cast("int").alias("__fan"))
 
 
+def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join by sorting both sides, whatever Spark thinks of their sizes.
+
+    Ids in files are many times smaller than in memory, and a side that Spark takes for small
+    is built whole on the driver to be broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, min_rows: int | None = None) -> DataFrame:
     """Inner join on ``keys`` with the heavy keys of ``left`` dealt by the hash of column ``by``.
 
@@ -33,4 +42,6 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
     fan = F.coalesce("__fan", F.lit(1))
     dealt = left.join(heavy, keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), fan.cast("long")).cast("int")).drop("__fan")
     copied = right.join(heavy, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), fan - 1))).drop("__fan")
-    return dealt.join(copied, [*keys, "__part"]).drop("__part")
+    # in as many tasks as the session says, since a row may meet many
+    dealt = dealt.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__part")
+    return merge_join(dealt, copied, [*keys, "__part"]).drop("__part")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.ordered import MAX_ROWS_PER_GROUP, OrderedGroups, number_rows
+from ..functions.skew import merge_join
 from ..sources.gtfs import ORDER, fix_ids
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -99,24 +100,24 @@ def expand_frequencies(
     starts = starts.select(
         "trip_id", F.col("start").cast("long"), F.concat_ws("_f", "trip_id", "start").alias("__new")
     )
-    used = starts.join(trips, "trip_id", "left_semi")
+    used = merge_join(starts, trips, "trip_id", "left_semi")
     first = stop_times.groupBy("trip_id").agg(
         F.min(F.struct("stop_sequence", "t")).getField("t").alias("__t0")
     )
-    runs = used.join(first, "trip_id")
+    runs = merge_join(used, first, "trip_id")
     new_times = (
-        runs.join(stop_times, "trip_id")
+        merge_join(runs, stop_times, "trip_id")
         .withColumn("t", F.col("t") - F.col("__t0") + F.col("start"))
         .withColumn("trip_id", F.col("__new"))
         .select(*stop_times.columns)
     )
     new_trips = (
-        runs.join(trips, "trip_id").withColumn("trip_id", F.col("__new")).select(*trips.columns)
+        merge_join(runs, trips, "trip_id").withColumn("trip_id", F.col("__new")).select(*trips.columns)
     )
     if not keep_template:
         templates = runs.select("trip_id").distinct()
-        trips = trips.join(templates, "trip_id", "left_anti")
-        stop_times = stop_times.join(templates, "trip_id", "left_anti")
+        trips = merge_join(trips, templates, "trip_id", "left_anti")
+        stop_times = merge_join(stop_times, templates, "trip_id", "left_anti")
     return trips.unionByName(new_trips), stop_times.unionByName(new_times)
 
 
@@ -327,7 +328,7 @@ def _append(base: DataFrame, extra: DataFrame, key: Sequence[str] = ()) -> DataF
     extra = extra.select(*[c for c in base.columns if c in extra.columns])
     if key:
         base = first_rows(base, key)
-        extra = first_rows(extra.join(base, list(key), "left_anti"), key)
+        extra = first_rows(merge_join(extra, base, list(key), "left_anti"), key)
     return base.unionByName(extra, allowMissingColumns=True)
 
 
@@ -343,10 +344,10 @@ def add_routes(
     The added services run daily over [start_date, end_date]; the other feed's
     exceptions are dropped. Stops, routes and services already present win.
     """
-    routes = other["routes"].join(route_ids, "route_id", "left_semi")
-    trips = other["trips"].join(route_ids, "route_id", "left_semi")
-    times = fix_ids(other["stop_times"]).join(trips, "trip_id", "left_semi")
-    stops = other["stops"].join(times, "stop_id", "left_semi")
+    routes = merge_join(other["routes"], route_ids, "route_id", "left_semi")
+    trips = merge_join(other["trips"], route_ids, "route_id", "left_semi")
+    times = merge_join(fix_ids(other["stop_times"]), trips, "trip_id", "left_semi")
+    stops = merge_join(other["stops"], times, "stop_id", "left_semi")
     services = trips.select("service_id").distinct()
     calendar = services.select(
         "service_id",
@@ -364,7 +365,7 @@ def add_routes(
         used = fix_ids(trips.select("shape_id")) if "shape_id" in trips.columns else None
         extra = None
         if "shapes" in other and used is not None:
-            extra = fix_ids(other["shapes"]).join(used, "shape_id", "left_semi")
+            extra = merge_join(fix_ids(other["shapes"]), used, "shape_id", "left_semi")
         if "shapes" in base and extra is not None:
             out["shapes"] = _append(base["shapes"], extra, ["shape_id", "shape_pt_sequence"])
         elif extra is not None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.scratch import Scratch
+from ..functions.skew import merge_join
 
 # Offsets of a cell and its eight neighbours.
 NEIGHBOUR_OFFSETS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
@@ -60,7 +61,7 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFra
     rhs = right.withColumnsRenamed({"x": "__rx", "y": "__ry"}).withColumn(
         "__c", F.struct(cell("__rx", radius).alias("cx"), cell("__ry", radius).alias("cy"))
     )
-    pairs = lhs.join(rhs, "__c").withColumn("d", X.point_distance("x", "y", "__rx", "__ry"))
+    pairs = merge_join(lhs, rhs, "__c").withColumn("d", X.point_distance("x", "y", "__rx", "__ry"))
     return pairs.filter(F.col("d") <= radius).drop("__c", "__rx", "__ry")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import MAX_ROWS_PER_GROUP, number_rows
+from ..functions.skew import merge_join
 
 
 def trip_stop_times(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def stop_events(tst: DataFrame) -> DataFrame:
     which is the order in which a rider tries them.
     """
     first = tst.groupBy("trip_id").agg(F.min("t").alias("t_first"))
-    return tst.join(first, "trip_id").select(
+    return merge_join(tst, first, "trip_id").select(
         "route_id",
         "trip_id",
         F.col("stop_sequence").cast("long").alias("seq"),
@@ -47,7 +48,7 @@ def mirrored(events: DataFrame) -> DataFrame:
     Searching back from an arrival is then the forward search on this table.
     """
     last = events.groupBy("trip_id").agg(F.max("t").alias("__last"))
-    return events.join(last, "trip_id").select(
+    return merge_join(events, last, "trip_id").select(
         "route_id",
         "trip_id",
         (-F.col("seq")).alias("seq"),
