@@ -1,6 +1,7 @@
 """Joins with heavy keys, and the boarding windows of the profile search."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -120,3 +121,26 @@ def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
     assert rows == {(f"B{i}", 1, 5 + i, "s1", 30, "s2", 90, "r_t", 10) for i in range(50)} | {("C", 0, 7, None, None, None, None, None, None)}
     # the ways are looked up for distinct ends, to which the journeys are joined last
     assert "Deduplicate" in df._jdf.queryExecution().analyzed().toString()
+
+
+# Java leaves methods of more bytes to its interpreter
+COMPILED_BYTES = 8000
+
+
+def largest_method(spark, df):
+    sizes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", sizes))
+
+
+def test_best_journeys_of_many_start_times_are_compiled(spark):
+    from test_transit import Net
+
+    limits = P.Limits(max_time=4000, schedule=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sources, events, footpaths, near = Net(5).frames(spark)
+        for back in (False, True):
+            found = P.search(sources, events, footpaths, near, 30600, limits, back)
+            assert found.slots == 6 and largest_method(spark, found.journeys(walks=True)) < COMPILED_BYTES
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
