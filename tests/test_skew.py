@@ -144,3 +144,29 @@ def test_best_journeys_of_many_start_times_are_compiled(spark):
             assert found.slots == 6 and largest_method(spark, found.journeys(walks=True)) < COMPILED_BYTES
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+LABELS = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
+JOURNEYS = "src string, dep long, place string, kind string, duration long, transfers int, k int, t long, start long, walk_s long, prev string"
+
+
+def test_trip_table_backwards_is_compiled(spark):
+    labels = spark.createDataFrame([("A", 0, 0, "s1", "s", 10, 0, 10, "A", None, None), ("A", 0, 1, "s2", "s", 90, 0, None, "s1", 30, "r_t")], LABELS)
+    journeys = spark.createDataFrame([("A", 0, f"B{i}", "b", 95 + i, 0, 1, 95 + i, 0, 5 + i, "s2") for i in range(3)], JOURNEYS)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = P.trip_table(journeys.select("src").distinct(), journeys, labels, 30600, P.Limits(schedule=True), True)
+        assert largest_method(spark, table) < COMPILED_BYTES
+        assert {(r["Destination_aid"], r["Duration"], r["Line_ID1"], r["Destination_time"]) for r in table.collect()} == {
+            *(("A", 95 + i, "r_t", "-1:59:40") for i in range(3)), ("A", 0, None, "08:30:00")
+        }
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_journeys_are_found_once_for_their_legs(spark):
+    labels = spark.createDataFrame([("A", 0, 0, "s1", "s", 10, 0, 10, "A", None, None), ("A", 0, 1, "s2", "s", 90, 0, None, "s1", 30, "r_t")], LABELS)
+    journeys = spark.range(3).selectExpr("'A' AS src", "0L AS dep", "1 AS k", "concat('B', id) AS place", "'s2' AS prev", "5L + id AS walk_s")
+    df = P.unroll_journey(journeys, labels, 1)
+    assert "Range (" not in plan_of(df)
+    assert {(r["place"], r["r1_trip"], r["w1"]) for r in df.collect()} == {(f"B{i}", "r_t", 10) for i in range(3)}
