@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.derived import Inputs
 from wayreach.functions import skew
-from wayreach.operators import gtfs_clean, profile
+from wayreach.operators import gtfs_clean, measures, profile
 from wayreach.operators import transit as P
 
 
@@ -170,3 +170,11 @@ def test_journeys_are_found_once_for_their_legs(spark):
     df = P.unroll_journey(journeys, labels, 1)
     assert "Range (" not in plan_of(df)
     assert {(r["place"], r["r1_trip"], r["w1"]) for r in df.collect()} == {(f"B{i}", "r_t", 10) for i in range(3)}
+
+
+def test_opportunities_are_joined_without_broadcasts(spark):
+    pairs = spark.createDataFrame([(1, 2, 100), (1, 3, 700), (2, 9, 50)], "star long, hash long, duration_s long")
+    places = spark.createDataFrame([(1, 5), (2, 7), (3, 11)], "aid long, jobs long")
+    out = measures.cumulative_opportunities(pairs, 600, 1200, places, ["jobs"])
+    assert "BroadcastHashJoin" not in plan_of(out)
+    assert {tuple(r) for r in out.select("star", "bin", "nbldg", "jobs").collect()} == {(1, 1, 2, 12), (1, 2, 3, 23), (2, 1, 2, 7), (2, 2, 2, 7)}
