@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wayreach.functions import expr as X
 from wayreach.functions.scratch import Scratch
-from wayreach.functions.skew import merge_join
+from wayreach.functions.skew import deal, merge_join
 from wayreach.operators import near, timetable
 from wayreach.sources import tables
 
@@ -30,6 +30,9 @@ BASE = (
 
 LON0, LAT0 = 34.8, 32.0
 
+# Trips that a task should hold with all their stops.
+TRIPS_PER_TASK = 100_000
+
 ROAD_CLASS_NAMES = ("primary", "secondary", "residential", "footway", "motorway", "unheard_of")
 
 VIEWS = {
@@ -218,14 +221,16 @@ class Inputs:
             return own(self)
         return self.sql(VIEWS[name])
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, **dealt: DataFrame) -> DataFrame:
+        """The rows of an SQL text; ``dealt`` stands for tables whose rows are laid out for it."""
         text = SERIES.sub(r"explode(sequence(\1, \2))", text)
-        return self.spark.sql(text, **{n: getattr(self, n) for n in set(NAME.findall(text))})
+        return self.spark.sql(text, **{n: dealt[n] if n in dealt else getattr(self, n) for n in set(NAME.findall(text))})
 
     # -- views whose joins the library does itself --------------------------------
 
     def make_stop_times(self) -> DataFrame:
         trips = self.trips.select("trip_id", "route_id", "service_id", "dep0")
+        trips = deal(trips, self.orders.count(), ["route_id"], TRIPS_PER_TASK)
         times = merge_join(trips, self.pattern, "route_id").withColumn("t", F.col("dep0") + F.col("t_off"))
         return times.select("trip_id", "route_id", "service_id", "stop_sequence", "stop_id", "t")
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from checks import derived
 from checks.derived import Inputs
 from wayreach.functions import skew
 from wayreach.operators import gtfs_clean, measures, profile
@@ -110,6 +111,29 @@ def test_stop_times_are_joined_without_broadcasts(spark, tmp_path):
     assert {r["t"] for r in rows if r["stop_sequence"] == 1} == {18000 + n * 97 for n in range(9)}
 
 
+def largest_task(df):
+    """The rows of the fullest part in which the rows of a query come out."""
+    return max(r["count"] for r in df.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect())
+
+
+def timetable(spark, folder):
+    """1000 trips of 50 routes."""
+    spark.range(40).selectExpr("id AS s_suppkey").write.parquet(f"{folder}/supplier.parquet")
+    parts = "id AS p_partkey, 'b' AS p_brand, 'n' AS p_name, 't' AS p_type"
+    spark.range(50).selectExpr(*parts.split(", ")).write.parquet(f"{folder}/part.parquet")
+    orders = "id AS o_orderkey, 'O' AS o_orderstatus, '1' AS o_orderpriority"
+    spark.range(1000).selectExpr(*orders.split(", ")).write.parquet(f"{folder}/orders.parquet")
+
+
+def test_a_task_joins_a_bounded_share_of_the_trips(spark, tmp_path, monkeypatch):
+    timetable(spark, tmp_path)
+    plain = Counter(tuple(r) for r in Inputs(spark, str(tmp_path)).stop_times.collect())
+    monkeypatch.setattr(derived, "TRIPS_PER_TASK", 10)
+    times = Inputs(spark, str(tmp_path)).stop_times
+    assert Counter(tuple(r) for r in times.collect()) == plain
+    assert largest_task(times) <= sum(plain.values()) // 6
+
+
 def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
     shape = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
     labels = spark.createDataFrame(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Keys above this number of rows, and above this share of all rows, are split.
 MIN_ROWS = 50_000
 SHARE = 1000
+# Rows that a task should hold of those that are grouped or sorted.
+ROWS_PER_TASK = 250_000
 
 
 def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> DataFrame:
@@ -23,6 +25,17 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], min_rows: int | None = None
     return counts.where(F.col("n") > bound).select(*keys, F.ceil(F.col("n") / bound).cast("int").alias("__fan"))
 
 
+def deal(df: DataFrame, rows: int, keys: Sequence, rows_per_task: int | None = None) -> DataFrame:
+    """``df`` by its keys in tasks of a bounded share of its ``rows``; small tables are left to Spark.
+
+    Adaptive execution puts shuffled parts together by their packed size, so the share of a task
+    grows with the table. What is grouped by these keys afterwards stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    waves = -(-rows // (cores * (rows_per_task or ROWS_PER_TASK)))
+    return df if waves <= 1 else df.repartition(waves * cores, *keys)
+
+
 def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join by sorting both sides, whatever Spark thinks of their sizes.
 
