@@ -134,6 +134,15 @@ def test_a_task_joins_a_bounded_share_of_the_trips(spark, tmp_path, monkeypatch)
     assert largest_task(times) <= sum(plain.values()) // 6
 
 
+def test_a_task_orders_a_bounded_share_of_the_trips(spark, tmp_path, monkeypatch):
+    timetable(spark, tmp_path)
+    plain = Counter(tuple(r) for r in Inputs(spark, str(tmp_path)).loop_stop_times.collect())
+    monkeypatch.setattr(derived, "TRIPS_PER_TASK", 10)
+    times = Inputs(spark, str(tmp_path)).loop_stop_times
+    assert Counter(tuple(r) for r in times.collect()) == plain
+    assert largest_task(times) <= sum(plain.values()) // 20
+
+
 def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
     shape = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
     labels = spark.createDataFrame(
