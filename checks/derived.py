@@ -226,8 +226,19 @@ class Inputs:
         text = SERIES.sub(r"explode(sequence(\1, \2))", text)
         return self.spark.sql(text, **{n: dealt[n] if n in dealt else getattr(self, n) for n in set(NAME.findall(text))})
 
+    def grouped_lineitem(self, view: str, *keys: str) -> DataFrame:
+        """A view that groups ``lineitem`` by at least these keys."""
+        rows = deal(self.lineitem, self.lineitem.count(), [F.expr(k) for k in keys])
+        return self.sql(VIEWS[view], lineitem=rows)
+
     # -- views whose joins the library does itself --------------------------------
 
+    def make_pairs(self) -> DataFrame:
+        return self.grouped_lineitem("pairs", "1000000 + l_suppkey", "1000000 + l_partkey")
+
+    def make_pairs2(self) -> DataFrame:
+        return self.grouped_lineitem("pairs2", "1000000 + l_suppkey * 2", "1000000 + l_partkey + l_linenumber")
+
     def make_loop_stop_times(self) -> DataFrame:
         rows = deal(self.stop_times, self.orders.count(), ["trip_id"], TRIPS_PER_TASK)
         return self.sql(VIEWS["loop_stop_times"], stop_times=rows)

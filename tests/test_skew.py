@@ -143,6 +143,24 @@ def test_a_task_orders_a_bounded_share_of_the_trips(spark, tmp_path, monkeypatch
     assert largest_task(times) <= sum(plain.values()) // 20
 
 
+def lines(spark, folder):
+    """3000 lines, some of the same pair."""
+    kinds = "id % 700 AS l_orderkey, id * 7 % 400 AS l_partkey, id * 3 % 50 AS l_suppkey, CAST(id % 7 AS INT) AS l_linenumber"
+    spark.range(3000).selectExpr(*kinds.split(", ")).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_a_task_groups_a_bounded_share_of_the_pairs(spark, tmp_path, monkeypatch):
+    lines(spark, tmp_path)
+    plain = Counter(tuple(r) for r in measures.by_source(Inputs(spark, str(tmp_path)).pairs).collect())
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    pairs = Inputs(spark, str(tmp_path)).pairs
+    least = measures.by_source(pairs)
+    # pairs stay where they are when they are grouped once more
+    assert plan_of(least).count("Exchange") == 1
+    assert Counter(tuple(r) for r in least.collect()) == plain
+    assert largest_task(least) <= len(plain) // 10
+
+
 def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
     shape = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
     labels = spark.createDataFrame(
