@@ -239,6 +239,9 @@ class Inputs:
     def make_pairs2(self) -> DataFrame:
         return self.grouped_lineitem("pairs2", "1000000 + l_suppkey * 2", "1000000 + l_partkey + l_linenumber")
 
+    def make_runs(self) -> DataFrame:
+        return self.grouped_lineitem("runs", "1000000 + l_suppkey", "1000000 + CAST(FLOOR(l_partkey / 200) AS BIGINT)")
+
     def make_loop_stop_times(self) -> DataFrame:
         rows = deal(self.stop_times, self.orders.count(), ["trip_id"], TRIPS_PER_TASK)
         return self.sql(VIEWS["loop_stop_times"], stop_times=rows)

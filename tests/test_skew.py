@@ -161,6 +161,28 @@ def test_a_task_groups_a_bounded_share_of_the_pairs(spark, tmp_path, monkeypatch
     assert largest_task(least) <= len(plain) // 10
 
 
+def test_roundtrips_are_added_up_without_copies_of_the_rows(spark, tmp_path, monkeypatch):
+    rows = [
+        ("o", "d", "to", "T1", 100), ("o", "d", "to", "T1", 140), ("o", "d", "to", None, 60), ("o", "d", "to", "T2", None),
+        ("o", "d", "from", "T1", 10), ("o", "d", "from", "T3", 30), ("o", "d", None, "T9", 5),
+        ("o", "e", "to", "T1", 100), (None, "d", "to", "T1", 7), (None, "d", "from", "T1", 8),
+    ]
+    runs = spark.createDataFrame(rows, "o_id string, d_id string, direction string, label string, duration_s long")
+    stats = measures.roundtrip_pairs(runs)
+    # std: variances of (100, 140, 60) and (10, 30) over all their sums
+    assert {tuple(r) for r in stats.collect()} == {
+        ("o", "d", 120.0, 34.16, 6, 3, 2, 70, 2, 2),
+        (None, "d", 15.0, 0.0, 1, 1, 1, 15, 1, 1),
+    }
+    assert "Expand" not in plan_of(stats)
+    lines(spark, tmp_path)
+    plain = Counter(tuple(r) for r in measures.roundtrip_pairs(Inputs(spark, str(tmp_path)).runs).collect())
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    dealt = measures.roundtrip_pairs(Inputs(spark, str(tmp_path)).runs)
+    assert plan_of(dealt).count("Exchange") == 1
+    assert Counter(tuple(r) for r in dealt.collect()) == plain
+
+
 def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
     shape = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
     labels = spark.createDataFrame(

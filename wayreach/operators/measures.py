@@ -201,19 +201,24 @@ def roundtrip_pairs(runs: DataFrame) -> DataFrame:
     counts and power sums combined before the shuffle.
     """
 
+    v = F.col("duration_s")
+    # a row for each label first, so that labels are counted without a copy of the rows for each direction
+    by_label = runs.groupBy("o_id", "d_id", "direction", "label").agg(
+        F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("min")
+    )
+
     def part(direction):
         mine = F.col("direction") == direction
-        v = F.when(mine, F.col("duration_s"))
         s = direction
         return [
-            F.count(v).alias(f"n_{s}"),
-            F.sum(v).alias(f"s_{s}"),
-            F.sum(v * v).alias(f"q_{s}"),
-            F.min(v).alias(f"min_{s}"),
-            F.count_distinct(F.when(mine, F.col("label"))).alias(f"labels_{s}"),
+            F.sum(F.when(mine, F.col("n"))).alias(f"n_{s}"),
+            F.sum(F.when(mine, F.col("s"))).alias(f"s_{s}"),
+            F.sum(F.when(mine, F.col("q"))).alias(f"q_{s}"),
+            F.min(F.when(mine, F.col("min"))).alias(f"min_{s}"),
+            F.count(F.when(mine, F.col("label"))).alias(f"labels_{s}"),
         ]
 
-    sums = runs.groupBy("o_id", "d_id").agg(*part("to"), *part("from"))
+    sums = by_label.groupBy("o_id", "d_id").agg(*part("to"), *part("from"))
     both = sums.filter("n_to > 0 AND n_from > 0")
     mean_to, mean_from = F.col("s_to") / F.col("n_to"), F.col("s_from") / F.col("n_from")
     var = (F.col("q_to") / F.col("n_to") - mean_to * mean_to) + (
