@@ -1,5 +1,6 @@
 """Joins with heavy keys, and the boarding windows of the profile search."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import derived
 from checks.derived import Inputs
 from wayreach.functions import skew
-from wayreach.operators import gtfs_clean, measures, profile
+from wayreach.operators import car, gtfs_clean, measures, profile
 from wayreach.operators import transit as P
 
 
@@ -183,6 +184,37 @@ def test_roundtrips_are_added_up_without_copies_of_the_rows(spark, tmp_path, mon
     assert Counter(tuple(r) for r in dealt.collect()) == plain
 
 
+def test_pairs_by_car_are_made_where_they_are_grouped(spark):
+    costs = [(f, n, 10.0 * abs(f - n)) for f in range(12) for n in range(12)]
+    sources = [(f"a{i}", i % 12, 5 * (i % 7)) for i in range(40)]
+    # each building by two nodes, the first also by a longer way
+    egress = [(i % 12, f"a{i}", 7 * (i % 5) + more) for i in range(40) for more in (0, 40)] + [((i + 1) % 12, f"a{i}", 60) for i in range(40)]
+    best = {}
+    for src, node, access in sources:
+        for f, n, d in costs:
+            for at, building, out in egress:
+                if f == node and at == n:
+                    whole, between = access + 10 * d + out, 10 * d
+                    if whole <= 200:
+                        cost = math.floor(whole + 0.5)
+                    elif between < 800:
+                        cost = math.floor(200 + between + 0.5)
+                    else:
+                        cost = math.floor(200 + d * ((whole - 200) / between) / 0.6 + 0.5)
+                    way = (0 if src == building else cost, int(whole > 200))
+                    best[src, building] = min(best.get((src, building), way), way)
+    df = car.car_od(
+        spark.createDataFrame(sources, "src string, node long, access_m long"),
+        spark.createDataFrame(costs, "src long, node long, d double"),
+        spark.createDataFrame(egress, "node long, building string, egress_m long"),
+        0.6,
+    )
+    plan = plan_of(df)
+    # small in files or not, nothing is broadcast; and after the last join no pair moves
+    assert "Broadcast" not in plan and plan.index("SortMergeJoin") < plan.index("Exchange")
+    assert {(r["src"], r["building"]): (r["duration_s"], r["veh_legs"]) for r in df.collect()} == best
+
+
 def test_legs_are_looked_up_once_for_journeys_by_the_same_ride(spark):
     shape = "src string, dep long, k int, place string, kind string, t long, start long, walk_s long, prev string, board_t long, trip string"
     labels = spark.createDataFrame(
