@@ -56,3 +56,13 @@ def test_bounds_hold():
     unit = v / np.sqrt((v * v).sum(1, keepdims=True))
     about = (small @ small.T) * scale[:, None] * scale
     assert (np.abs(about - unit @ unit.T) <= error[:, None] + (1 + error[:, None]) * error + 1e-9).all()
+
+
+def test_no_side_is_built_on_the_driver(spark, monkeypatch):
+    """The queries come with a copy for every block, so a broadcast of them grows faster than the table."""
+    monkeypatch.setattr(block_knn, "BLOCK_VALUES", 64 * 6)
+    rows = [(i, [float(i % 7 + 1), float(i % 5)]) for i in range(300)]
+    df = spark.createDataFrame([(i, v, "a", "b", 1) for i, v in rows], SCHEMA)
+    found = block_knn.nearest(df, F.col("vec_id") % 50 == 0)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

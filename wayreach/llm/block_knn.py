@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayreach.functions.skew import merge_join
+
 BLOCK_VALUES = 1 << 20  # components of a block of candidates
 QUERIES_PER_BLOCK = 1024
 
@@ -133,6 +135,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     candidates = in_blocks(rows, blocks)
     asking = in_blocks(rows.where("asked"), max(1, -(-asked // min(QUERIES_PER_BLOCK, per_block))))
     asking = asking.select("dim", F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    tiles = asking.join(candidates, ["dim", "block"]).select("dim", "q_ids", "q_vals", "ids", "vals")
+    # sorted: Spark takes lists for a few bytes each and would build one side, with a copy of the queries for every block, on the driver
+    tiles = merge_join(asking, candidates, ["dim", "block"]).select("dim", "q_ids", "q_vals", "ids", "vals")
     found = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
     return found.repartition("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
