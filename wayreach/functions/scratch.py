@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Whether shuffle files go when the query that wrote them ends; else they stay until the driver's heap is collected.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # Folders made for local sessions that name none, by application id.
 _local_folders: dict[str, str] = {}
@@ -43,7 +45,12 @@ class Scratch:
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
         path = self.path(label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLES_GO)
+        self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLES_GO, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(kept)] = path
         return kept

@@ -119,11 +119,15 @@ def board_next_trip(arrivals: DataFrame, events: DataFrame, wait: int, change: i
 
     Of the trips that leave in ``[t + change, t + wait]`` the one first in route order is
     taken. Each event has the window of times from which it is that one, so the arrivals meet
-    one row for each trip taken. Adds (route_id, trip_id, seq, board_t).
+    one row for each trip taken. Adds (route_id, trip_id, seq, board_t). Trips that no arrival
+    can catch, since all come too early or too late, are left out first.
     """
     width = profile.bucket_width(wait, change)
-    offered = profile.in_buckets(profile.boarding_windows(events, wait, change), width)
-    asked = arrivals.select("stop_id", "t").distinct().withColumn("bucket", F.floor(F.col("t") / width))
+    asked = Scratch(arrivals.sparkSession, "arrivals").keep(arrivals.select("stop_id", "t").distinct())
+    first, last = asked.agg(F.min("t"), F.max("t")).first()
+    in_time = F.col("t").between(F.lit(first) + change, F.lit(last) + wait)
+    offered = profile.in_buckets(profile.boarding_windows(events.where(in_time), wait, change), width)
+    asked = asked.withColumn("bucket", F.floor(F.col("t") / width))
     caught = asked.join(offered, ["stop_id", "bucket"]).filter(F.col("t").between(F.col("from_t"), F.col("to_t")))
     return caught.select("stop_id", "t", "route_id", "seq", "trip_id", "board_t")
 
